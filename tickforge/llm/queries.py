@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name to the module that holds it.
 MODULES = {
     "op2_external_shuffle": "sharding",
+    "op3_best_fit_packing": "packing",
 }
 
 
