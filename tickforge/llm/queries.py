@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op2_external_shuffle": "sharding",
     "op3_best_fit_packing": "packing",
+    "op10_bpe_automaton": "bpe",
 }
 
 
