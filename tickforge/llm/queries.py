@@ -9,6 +9,7 @@ MODULES = {
     "op2_external_shuffle": "sharding",
     "op3_best_fit_packing": "packing",
     "op10_bpe_automaton": "bpe",
+    "op4_pii_spans": "pii",
 }
 
 
