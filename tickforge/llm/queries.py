@@ -10,6 +10,7 @@ MODULES = {
     "op3_best_fit_packing": "packing",
     "op10_bpe_automaton": "bpe",
     "op4_pii_spans": "pii",
+    "op7_gif_columns": "gif",
 }
 
 
