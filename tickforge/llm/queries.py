@@ -11,6 +11,7 @@ MODULES = {
     "op10_bpe_automaton": "bpe",
     "op4_pii_spans": "pii",
     "op7_gif_columns": "gif",
+    "op9_linked_secrets": "secrets",
 }
 
 
