@@ -12,6 +12,7 @@ MODULES = {
     "op4_pii_spans": "pii",
     "op7_gif_columns": "gif",
     "op9_linked_secrets": "secrets",
+    "op8_toxicity_kernel_svm": "toxicity",
 }
 
 
