@@ -13,6 +13,7 @@ MODULES = {
     "op7_gif_columns": "gif",
     "op9_linked_secrets": "secrets",
     "op8_toxicity_kernel_svm": "toxicity",
+    "op5_minhash_tensored": "minhash",
 }
 
 
