@@ -14,6 +14,7 @@ MODULES = {
     "op9_linked_secrets": "secrets",
     "op8_toxicity_kernel_svm": "toxicity",
     "op5_minhash_tensored": "minhash",
+    "op6_suffix_array_repeats": "suffixes",
 }
 
 
