@@ -15,6 +15,7 @@ MODULES = {
     "op8_toxicity_kernel_svm": "toxicity",
     "op5_minhash_tensored": "minhash",
     "op6_suffix_array_repeats": "suffixes",
+    "op1_bm25_topk": "search",
 }
 
 
