@@ -10,61 +10,69 @@ from __future__ import annotations
 
 import functools
 import math
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import documents, durable
+from ._words import Remembered, Spec
 
 SEQUENCE = 2048
 #: Pieces in one packing task. A group wastes less than a bin against packing all of them at once, or so.
 GROUP = 16384
-#: Words kept in a worker's cache; it starts anew when full.
-CACHE = 400_000
 
 
-class WordIds:
-    """Token ids of whole texts by the tokenizers library, as little-endian 32-bit bytes, with a cache of words.
+class TextIds(Remembered[bytes]):
+    """Token ids of whole texts by the tokenizers library, as little-endian 32-bit bytes.
 
-    For tokenizers that collapse white space and never join across it: a text's ids are those of its words in turn.
-    Only ASCII white space parts words here; the library sees any other.
+    New pieces go through the library together, as one text; the token that ends a word tells them apart. A word
+    goes through alone if a special token, or a character that changes when folded twice, could stand in it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, spec = Tokenizer.from_file(path), Spec(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = tuple(spec.special)
+        suffix, vocab = spec.model["end_of_word_suffix"], self.tokenizer.get_vocab_size()
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(vocab)]
+        self.last = np.array([bool(suffix) and n.endswith(suffix) for n in names])
+        super().__init__(spec, self.together, b"".join, self.alone, self.doubtful)
 
-    def __call__(self, text: str) -> bytes:
-        parts = text.translate(SPACES).split(" ")
-        known = self.words
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
-            pass
-        new = list({w for w in parts if w not in known})
-        got = dict(zip(new, (b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out = b"".join([known[w] if w in known else got[w] for w in parts])
-        if len(known) + len(got) > CACHE:
-            self.words = known = {"": b""}
-        known.update((w, b) for w, b in got.items() if len(w) <= 48)
-        return out
+    def alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def together(self, pieces: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):
+            return [self.alone(p) for p in pieces]
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def doubtful(self, word: str) -> bool:
+        if word.isascii():
+            return "<" in word and any(s in word for s in self.special)
+        once = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+        return not unicodedata.is_normalized("NFC", once) or "".join([c.lower() for c in once]) != once or any(s in word for s in self.special)
 
-SPACES = str.maketrans("\t\n\v\f\r", "     ")
+    def encode(self, text: str) -> bytes:
+        return b"".join(next(self([text])))
 
 
 @functools.cache
-def word_ids(path: str) -> WordIds:
+def text_ids(path: str) -> TextIds:
     """One for each worker process and file, so that later tasks find the words known."""
-    return WordIds(path)
+    return TextIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, most: int = SEQUENCE, keep_ids: bool = True) -> DataFrame:
@@ -75,12 +83,12 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = SEQUENCE, keep_ids: bool
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer)
+        encode = text_ids(tokenizer)
         step = 4 * most
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + b"\0\0\0\0"
+            for doc, values in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = b"".join(values) + b"\0\0\0\0"
                 for i, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for column, value in zip(rows, (doc, i, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):
