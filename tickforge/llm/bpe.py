@@ -15,18 +15,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import json
-import unicodedata
 from collections.abc import Callable
 
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import documents, map_texts
-
-#: A worker's cache of encoded words; it starts anew when full.
-CACHE = 300_000
-SPACES = str.maketrans("\t\n\v\f\r", "     ")
+from ._words import Remembered, Spec
 
 
 def byte_symbols() -> list[str]:
@@ -121,67 +115,44 @@ class MergeAutomaton:
         return out[::-1]
 
 
-class Encoder:
+Coded = tuple[str, str]  # ids in decimal and labels of arcs, each joined by a space
+
+
+class Encoder(Remembered[Coded]):
     """Whole texts to token ids and back, for a tokenizer file with NFC, white space and case folding before BPE."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model = spec["model"]
+        spec = Spec(path)
+        model = spec.model
         self.vocab: dict[str, int] = model["vocab"]
         self.automaton = MergeAutomaton(self.vocab, [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"] or "")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.labels = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.shown = byte_symbols()
-        self.parts: dict[str, tuple[list[int], str, str]] = {"": ([], "", "")}
-        self.spelled: dict[str, list[int]] = {}
-
-    def plain(self, text: str) -> list[int]:
-        if text.isascii():
-            text = text.lower()
-        else:
-            text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
-        ids, known = [], self.spelled
-        for word in self.words.findall(text):
-            got = known.get(word)
-            if got is None:
-                got = [self.vocab[t] for t in self.automaton.encode("".join([self.shown[b] for b in word.encode()]))]
-                if len(known) >= CACHE:
-                    known.clear()
-                if len(word) <= 48:
-                    known[word] = got
-            ids += got
-        return ids
-
-    def part(self, text: str) -> list[int]:
-        """The ids of a part without ASCII white space, special tokens included."""
-        ids, at = [], 0
-        for m in self.at_special.finditer(text):
-            ids += [*self.plain(text[at : m.start()]), self.special[m[0]]]
+        self.labels = {i: t for t, i in [*self.vocab.items(), *spec.special.items()]}
+        self.shown, self.special = byte_symbols(), tuple(spec.special)
+        super().__init__(spec, lambda pieces: [self.coded(self.piece(p)) for p in pieces], self.joined, lambda w: self.coded(self.word(w)), self.with_special)
+
+    def piece(self, piece: str) -> list[int]:
+        return [self.vocab[t] for t in self.automaton.encode("".join([self.shown[b] for b in piece.encode()]))]
+
+    def word(self, word: str) -> list[int]:
+        """The ids of a word with special tokens in it, which part it."""
+        ids, at, spec = [], 0, self.spec
+        for m in spec.at_special.finditer(word):
+            ids += [i for p in spec.pieces(word[at : m.start()]) for i in self.piece(p)] + [spec.special[m[0]]]
             at = m.end()
-        return ids + self.plain(text[at:])
-
-    def __call__(self, text: str) -> list[tuple[list[int], str, str]]:
-        """The parts of a text between ASCII white space, each as its ids, their decimals, and the arcs' labels."""
-        out, known = [], self.parts
-        for w in text.translate(SPACES).split(" "):
-            got = known.get(w)
-            if got is None:
-                ids = self.part(w)
-                got = (ids, " ".join(map(str, ids)), self.decode(ids))
-                if len(w) <= 48:
-                    if len(known) >= CACHE:
-                        known.clear()
-                        known[""] = ([], "", "")
-                    known[w] = got
-            if got[0]:
-                out.append(got)
-        return out
+        return ids + [i for p in spec.pieces(word[at:]) for i in self.piece(p)]
+
+    def with_special(self, word: str) -> bool:
+        return "<" in word and any(s in word for s in self.special)
+
+    def coded(self, ids: list[int]) -> Coded:
+        return " ".join(map(str, ids)), self.decode(ids)
+
+    @staticmethod
+    def joined(parts: list[Coded]) -> Coded:
+        return " ".join([p[0] for p in parts if p[0]]), " ".join([p[1] for p in parts if p[0]])
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self(text) for i in ids]
+        return list(map(int, " ".join([p[0] for p in next(self([text])) if p[0]]).split()))
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs that the ids name, joined as a tokenizer without a decoder joins them."""
@@ -194,42 +165,33 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, **columns: str) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by a space) and decoded of every text; null is as empty: no tokens, ''."""
-
-    def make() -> Callable[[list[str]], dict[str, list]]:
-        encoder = encoder_of(tokenizer)
-
-        def work(texts: list[str]) -> dict[str, list]:
-            got = [encoder(t) for t in texts]
-            return {"n_tokens": [sum(len(p[0]) for p in x) for x in got], "ids": [" ".join([p[1] for p in x]) for x in got], "decoded": [" ".join([p[2] for p in x]) for x in got]}
-
-        return work
-
-    return map_texts(docs, make, "n_tokens long, ids string, decoded string", **columns)
-
+def encode_decode(docs: DataFrame, tokenizer: str, digest: bool = False, **columns: str) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, joined by a space) and decoded of every text; null is as empty: no tokens, ''.
 
-def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """As encode_decode, with SHA-256 digests in place of ids and decoded, computed where they arise."""
+    With digest, ids_sha256 and decoded_sha256 stand in their place, computed where they arise. Rows are
+    independent of each other; an empty table gives no rows.
+    """
+    names = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
+    told: Callable[[str], str] = (lambda s: hashlib.sha256(s.encode()).hexdigest()) if digest else str
 
     def make() -> Callable[[list[str]], dict[str, list]]:
         encoder = encoder_of(tokenizer)
 
         def work(texts: list[str]) -> dict[str, list]:
-            counts, ids, decoded = [], [], []
-            for t in texts:
-                parts = encoder(t)
-                counts.append(sum([len(p[0]) for p in parts]))
-                ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
-            return {"n_tokens": counts, "ids_sha256": ids, "decoded_sha256": decoded}
+            out: dict[str, list] = {"n_tokens": [], names[0]: [], names[1]: []}
+            for parts in encoder(texts):
+                ids, decoded = encoder.joined(parts)
+                out["n_tokens"].append(ids.count(" ") + 1 if ids else 0)
+                out[names[0]].append(told(ids))
+                out[names[1]].append(told(decoded))
+            return out
 
         return work
 
-    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, make, f"n_tokens long, {names[0]} string, {names[1]} string", **columns)
 
 
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digest=True)
