@@ -17,10 +17,11 @@ import hashlib
 import heapq
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -307,6 +308,21 @@ def score(docs: DataFrame, model: Model, **columns: str) -> DataFrame:
     return map_texts(docs, make, "score double", **columns)
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose score reaches the threshold; all columns and other rows stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    key = hashlib.sha256(model.weights.tobytes() + repr(model[1:]).encode()).hexdigest()
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = scorer(key, lambda: Model(*shared.value))
+        for batch in batches:
+            scores = use([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity_kernel_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
