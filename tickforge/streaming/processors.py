@@ -19,7 +19,8 @@ class FoldProcessor(StatefulProcessor):
     """Runs a fold over each key's rows, in order within a trigger, with its state kept between triggers."""
 
     def __init__(self, make: Callable[[], Fold], columns: list[str], order: str, schema: str):
-        self.make, self.columns, self.order, self.schema = make, columns, order, schema
+        self.make, self.columns, self.order = make, columns, order
+        self.names = _parse_datatype_string(schema).names  # here, since executors have no session to parse with
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("fold", StructType([StructField("state", StringType())]))
@@ -32,9 +33,8 @@ class FoldProcessor(StatefulProcessor):
         values = [[None if pd.isna(v) else v for v in frame[c].tolist()] for c in self.columns]
         out = [(key[0], *r) for row in zip(*values, strict=True) for r in fold.step(row)]
         self.state.update((fold.dump(),))
-        names = _parse_datatype_string(self.schema).names
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
         pass
