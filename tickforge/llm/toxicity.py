@@ -5,7 +5,7 @@ allowed: a triple that spans s characters weighs DECAY ** s, up to SPAN. So an i
 out stays close to its plain form. A document is a bag of segments (its words; pieces of very long ones; runs of
 single characters closed up). Segments of labelled documents train the machine: in a toxic document its worst
 segment counts as toxic, in a clean one none does, and the clean segments that score worst are put back in as
-negatives (multiple-instance training). A document's score is a logistic function of its three highest segment scores.
+negatives (multiple-instance training). A document's score is a logistic function of its highest segment score.
 
 Against m landmarks the decision is a sum of m kernel values. Each is an inner product over triples, so their sum is
 one weight for each triple: scoring a segment costs its triples, not m kernels.
@@ -14,7 +14,7 @@ one weight for each triple: scoring a segment costs its triples, not m kernels.
 from __future__ import annotations
 
 import hashlib
-import heapq
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -33,6 +33,8 @@ LANDMARKS, DECAY, SPAN = 192, 0.7, 6
 #: Longer words are read in pieces of this length, each starting half a piece after the last.
 PIECE = 24
 CACHE = 400_000
+#: Segment score of a text without words.
+NOTHING = -1.5
 SYMBOLS = 64
 EDGES = ".,;:!?\"'()[]|»«"
 SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
@@ -104,7 +106,7 @@ def linear(words: list[str], weights: np.ndarray) -> np.ndarray:
 class Model(NamedTuple):
     weights: np.ndarray  # of triples
     bias: float
-    logistic: tuple[float, ...]  # of the three highest segment scores, then the constant
+    logistic: tuple[float, float]  # of the highest segment score, and the constant
 
 
 def kernel_to(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -161,7 +163,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     y = np.array([1 if v else 0 for v in labels])
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(1 << 18, np.float32), -1.0, (0.0, 0.0, 0.0, float(np.log((share + 0.01) / (1.01 - share)))))
+        return Model(np.zeros(1 << 18, np.float32), -1.0, (0.0, float(np.log((share + 0.01) / (1.01 - share)))))
     bags = [bag(t) for t in texts]
     toxic = Counter(s for b, v in zip(bags, y, strict=True) if v for s in b)
     clean = Counter(s for b, v in zip(bags, y, strict=True) if not v for s in b)
@@ -174,7 +176,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         if v and b:
             best = max(odds[s] + 0.2 * np.log(toxic[s]) for s in b)
             witnesses.update(s for s in b if odds[s] + 0.2 * np.log(toxic[s]) >= best - 0.5 and odds[s] > 1)
-    frequent = Counter({s: n for s, n in witnesses.items() if n >= max(2, n_toxic // 200)})  # stay, whatever later rounds find
+    frequent = Counter({s: n for s, n in witnesses.items() if n >= max(3, n_toxic // 50)})  # stay, whatever later rounds find
     positives = [s for s, _ in witnesses.most_common(3000)]
     pool = sorted(clean)
     negatives = [pool[i] for i in rng.permutation(len(pool))[:4000]]
@@ -188,7 +190,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         bent = [v for s in list(frequent)[:200] if len(s) > 4 for v in variants(s) if v not in clean]
         words = positives + bent + negatives
         sign = np.array([1.0] * (len(positives) + len(bent)) + [-1.0] * len(negatives))
-        cost = np.array([min(20.0, float(witnesses[s])) for s in positives] + [1.0] * len(bent) + [min(20.0, float(clean[s])) for s in negatives])
+        cost = np.array([min(4.0, float(witnesses[s])) for s in positives] + [1.0] * len(bent) + [min(20.0, float(clean[s])) for s in negatives])
         w, bias = svm(kernel_to(words, chosen) @ root, sign, cost)
         lw, lt, lv, ln = triples(chosen)
         weights = np.bincount(lt, lv / ln[lw] * (root @ w)[lw], minlength=1 << 18).astype(np.float32)
@@ -200,20 +202,20 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         for b, v in zip(bags, y, strict=True):
             if v and b:
                 best = max(b, key=by.__getitem__)
-                again.update({s for s in b if by[s] > 0.5 and odds[s] > 0} | ({best} if odds[best] > 0 else set()))
+                again.update({s for s in b if by[s] > 0.5 and odds[s] > 0 and toxic[s] > 2} | ({best} if odds[best] > 0 else set()))
         witnesses = again | frequent or witnesses
         positives = [s for s, _ in witnesses.most_common(3000)]
     known = dict(zip(pool, scores.tolist(), strict=True)) | by
-    tops = np.array([top([known[s] for s in b]) for b in bags])
+    tops = np.array([[top([known[s] for s in b])] for b in bags])
     return Model(weights, bias, logit(tops, y))
 
 
-def top(scores: list[float]) -> list[float]:
-    """The three highest different scores, -1.5 where there are fewer."""
-    return (heapq.nlargest(3, set(scores)) + [-1.5] * 3)[:3]
+def top(scores: list[float]) -> float:
+    """The highest score, NOTHING where there is none."""
+    return max(scores, default=NOTHING)
 
 
-def logit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, ...]:
+def logit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
     """Logistic regression by Newton steps, classes weighed by their sizes as they are."""
     full = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(full.shape[1])
@@ -245,7 +247,7 @@ class Scorer:
                 self.known[t] = v
 
     def __call__(self, texts: list[str]) -> list[float]:
-        a, b, c, const = self.model.logistic
+        slope, const = self.model.logistic
         out = []
         for k in range(0, len(texts), 64):
             split = []
@@ -263,8 +265,8 @@ class Scorer:
                     self.learn(everything.difference(self.known))
             known = self.known
             for tokens in split:
-                x = top([known[t] for t in tokens])
-                out.append(float(1 / (1 + np.exp(-np.clip(a * x[0] + b * x[1] + c * x[2] + const, -30, 30)))))
+                x = slope * top([known[t] for t in tokens]) + const
+                out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, x)))))
         return out
 
 
