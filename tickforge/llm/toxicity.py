@@ -190,7 +190,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         bent = [v for s in list(frequent)[:200] if len(s) > 4 for v in variants(s) if v not in clean]
         words = positives + bent + negatives
         sign = np.array([1.0] * (len(positives) + len(bent)) + [-1.0] * len(negatives))
-        cost = np.array([min(4.0, float(witnesses[s])) for s in positives] + [1.0] * len(bent) + [min(20.0, float(clean[s])) for s in negatives])
+        cost = np.array([min(20.0, float(witnesses[s]) ** 0.5) for s in positives] + [1.0] * len(bent) + [min(20.0, float(clean[s])) for s in negatives])
         w, bias = svm(kernel_to(words, chosen) @ root, sign, cost)
         lw, lt, lv, ln = triples(chosen)
         weights = np.bincount(lt, lv / ln[lw] * (root @ w)[lw], minlength=1 << 18).astype(np.float32)
