@@ -48,3 +48,29 @@ def fold(df: DataFrame, key: str, order: str, columns: list[str], make: Callable
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     return df.select(key, *columns).repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def annotate(df: DataFrame, key: str, order: str, columns: list[str], make: Callable[[], Fold], schema: str) -> DataFrame:
+    """df with the columns that a fold gives for each row (one output row for each, without columns of its own input).
+
+    Rows keep all their columns on the way, so nothing has to be joined back.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    added = _parse_datatype_string(schema)
+    assert isinstance(added, StructType)
+    arrow = to_arrow_schema(added)
+    read = [df.columns.index(c) for c in (key, *columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, started = None, None, False
+        for batch in batches:
+            out: list[tuple] = []
+            for key_, *row in zip(*(batch.column(k).to_pylist() for k in read), strict=True):
+                if not started or key_ != now:
+                    now, state, started = key_, make(), True
+                (made,) = state.step(tuple(row))
+                out.append(made)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in out], f.type) for k, f in enumerate(arrow))], schema=pa.schema([*batch.schema, *arrow]))
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, StructType([*df.schema.fields, *added.fields]))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.folds import fold
+from ..functions.folds import annotate, fold
 from ..functions.scalars import approx_equal, bit, less
 
 BY_SYMBOL = "partition by symbol order by arrival_ix"
@@ -144,12 +144,16 @@ def price_band(tape: DataFrame) -> DataFrame:
     return fold(tape, "symbol", "arrival_ix", BAND_COLUMNS, PriceBand, "symbol string, arrival_ix long, band_flag int, reference double")
 
 
+def with_band(tape: DataFrame) -> DataFrame:
+    """tape with band_flag."""
+    return annotate(tape, "symbol", "arrival_ix", BAND_COLUMNS, PriceBand, "_at long, band_flag int, _reference double").drop("_at", "_reference")
+
+
 def validate(tape: DataFrame) -> DataFrame:
-    """tape with flags (all 19 bits) and gap."""
-    checked = with_reconciliation(with_sequencing(with_stateless(tape)))
-    whole = checked.join(price_band(tape).select("symbol", "arrival_ix", "band_flag"), ["symbol", "arrival_ix"])
+    """tape with flags (all 19 bits) and gap. The tape is shuffled twice, for the fold and for the windows; nothing is joined."""
+    checked = with_reconciliation(with_sequencing(with_stateless(with_band(tape))))
     flags = F.col("stateless_flags") + F.col("sequencing_flags") + F.col("reconcile_flags") + F.col("band_flag")
-    return whole.withColumn("flags", flags.cast("int")).drop("stateless_flags", "sequencing_flags", "reconcile_flags", "band_flag")
+    return checked.withColumn("flags", flags.cast("int")).drop("stateless_flags", "sequencing_flags", "reconcile_flags", "band_flag")
 
 
 def quote_reference(tape: DataFrame) -> DataFrame:
