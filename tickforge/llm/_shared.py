@@ -48,6 +48,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that a worker never holds many texts as Python objects.
+
+    Memory that Arrow keeps for reuse is given back at the end: workers live on after their task.
+    """
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str, id_col: str = "doc_id", text_col: str = "text", type_: str = "long") -> DataFrame:
     """doc_id and the columns that make()(texts) computes for each batch of texts, null texts being empty.
 
@@ -57,7 +68,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in small(batches):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             got = work(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(got[n] if isinstance(got[n], pa.Array) else pa.array(got[n]) for n in names)], names=["doc_id", *names])

@@ -17,7 +17,7 @@ import regex
 
 T = TypeVar("T")
 #: Words, and pieces, that a worker remembers; the memory starts anew when full. Longer words are not remembered.
-CACHE, LONG = 400_000, 48
+CACHE, LONG = 250_000, 48
 #: White space to str.split() that is none of ASCII's six.
 OTHER_SPACE = re.compile("[%s]" % "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])))
 BATCH = 256

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, durable
+from ._shared import documents, durable, small
 from ._words import Remembered, Spec
 
 SEQUENCE = 2048
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = SEQUENCE, keep_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_ids(tokenizer)
         step = 4 * most
-        for batch in batches:
+        for batch in small(batches):
             rows: list[list] = [[], [], [], [], [], []]
             for doc, values in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = b"".join(values) + b"\0\0\0\0"

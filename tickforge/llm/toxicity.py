@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, map_texts
+from ._shared import documents, map_texts, small
 
 #: Labelled documents of either class that train the classifier, at most; drawn by a hash of doc_id.
 TRAIN = 2000
 LANDMARKS, DECAY, SPAN = 192, 0.7, 6
 #: Longer words are read in pieces of this length, each starting half a piece after the last.
 PIECE = 24
-CACHE = 400_000
+CACHE = 150_000
 #: Segment score of a text without words.
 NOTHING = -1.5
 SYMBOLS = 64
@@ -318,7 +318,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = scorer(key, lambda: Model(*shared.value))
-        for batch in batches:
+        for batch in small(batches):
             scores = use([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
