@@ -7,7 +7,9 @@ similarity s share a key unless they differ throughout one collection, with a ch
 
 Documents with equal sets form one class at first; only classes are compared. In each bucket (documents that share a
 key) all are compared with one centre, the document that shares most keys with others. What that leaves apart is
-compared across components: in small buckets pair by pair, in large ones after splitting them by a third collection.
+compared across components: in small buckets pair by pair. Large buckets that still hold several components come from
+passages that many documents share; of their documents those are compared that share one of their rarest shingles, as
+many of them as two sets of similarity 0.8 cannot all differ in (prefix filtering, which loses no pair).
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, durable
+from ._shared import documents, durable, small
 
-DEPTH, SIDE, THIRD = 3, 11, 12
-#: Buckets of more classes than this are split by the third collection before their classes are compared in pairs.
+DEPTH, SIDE = 3, 11
+#: Documents of buckets with more classes than this are compared by their rarest shingles.
 SMALL = 32
 #: A pair's minhashes agree in this share at least to be confirmed on the sets: five standard deviations below 0.8.
 LEAST_AGREEING = 0.58
-HASHES = DEPTH * (2 * SIDE + THIRD)
+HASHES = DEPTH * 2 * SIDE
 MIX = np.random.default_rng(20).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64) | np.uint64(1)
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -68,7 +70,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     """Fixed rows of _rid, doc_id, th, tc (digests of the text), n_shingles, cls (digest of the set), hashes, short signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sizes, classes, hashes, shorts = [], [], [], []
             for text in batch.column(3).to_pylist():
                 found = shingles(text or "", n)
@@ -124,6 +126,14 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).distinct()
 
 
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the classes in wanted (node, distinct). Written out."""
+    asked = wanted.join(nodes.select("node", "th", "tc"), "node")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("th"), F.crc32(text.cast("binary")).alias("tc"), text.alias("text")).join(asked, ["th", "tc"]).groupBy("node").agg(F.min("text").alias("text"))
+    return durable(texts, "near-texts")
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (u, v) whose sets' intersection is at least percent % of their union. Written out."""
     sized = nodes.select("node", "n_shingles", "hashes")
@@ -135,13 +145,10 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
         .select("u", "v")
     )
     near = durable(near, "near-pairs")
-    wanted = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "th", "tc"), "node")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("th"), F.crc32(text.cast("binary")).alias("tc"), text.alias("text")).join(wanted, ["th", "tc"]).groupBy("node").agg(F.min("text").alias("text"))
-    texts = durable(texts, "near-texts")
+    texts = texts_of(near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct(), nodes, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             known: dict[int, np.ndarray] = {}
             kept = []
             for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -150,14 +157,36 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
                         known[node] = shingles(t, n)
                 common = len(np.intersect1d(known[u], known[v], assume_unique=True))
                 kept.append(100 * common >= percent * (len(known[u]) + len(known[v]) - common))
-                if len(known) > 2000:
-                    known.clear()
             yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
     full = near.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").select("u", "v", "a", "b")
     return durable(full.mapInArrow(run, "u long, v long"), "links")
 
 
+def sharing_rare(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (u, v) across components of wanted (node, component) that share one of their rarest shingles and are of like size.
+
+    Of a set of m, the m - ceil(percent % of m) + 1 rarest count: a set of that similarity misses fewer than those.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            sets = [shingles(t, n).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = durable(texts_of(wanted.select("node"), nodes, docs).mapInArrow(run, "node long, shingles array<long>"), "shingles")
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    # Shingles of one document alone are the rarest; they take their places in the prefix without being listed.
+    ranked = each.join(common, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
+    sized = ranked.join(sets.select("node", F.size("shingles").alias("m")), "node").join(wanted, "node")
+    rare = f"slice(ranked, 1, greatest(0, m - cast(ceil(m * {percent} / 100) as int) + 1 - (m - size(ranked))))"
+    prefix = durable(sized.select("node", "component", "m", F.explode(F.expr(rare)).alias("r")).select("node", "component", "m", F.col("r.shingle").alias("shingle")), "rare")
+    like = 100 * F.least("a.m", "b.m") >= percent * F.greatest("a.m", "b.m")
+    pairs = prefix.alias("a").join(prefix.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & like)
+    return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+
 def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows of signatures() with node (their class), the confirmed links between classes, and node, component."""
     rows = signatures(docs, n)
@@ -177,11 +206,13 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     placed = members.join(found, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("component"))
     mixed_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
     apart = durable(placed.join(mixed_, "key").where(F.col("size") > 2), "apart")
-    third = F.expr(f"transform(slice(shorts, {2 * SIDE + 1}, {THIRD}), (c, i) -> xxhash64(i, c))")
-    split = apart.where(F.col("size") > SMALL).join(nodes.select("node", third.alias("third")), "node").select("key", "node", "component", F.explode("third").alias("sub")).withColumn("key", F.xxhash64("key", "sub"))
-    cells = apart.where(F.col("size") <= SMALL).select("key", "node", "component").unionByName(split.select("key", "node", "component"))
+    cells = apart.where(F.col("size") <= SMALL)
     across = cells.alias("a").join(cells.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")))
-    left = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    left = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    crowd = durable(apart.where(F.col("size") > SMALL).select("node", "component").distinct(), "crowd")
+    if crowd.take(1):
+        left = left.unionByName(sharing_rare(crowd, nodes, docs, n, percent))
+    left = left.distinct()
     more = confirmed(left, nodes, docs, n, percent)
     if more.take(1):
         links = links.unionByName(more)
