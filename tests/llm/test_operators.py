@@ -288,7 +288,7 @@ def repeated(texts, length):
     return out
 
 
-@pytest.mark.parametrize("heavy", [4000, 1])
+@pytest.mark.parametrize("heavy", [20000, 1])
 def test_repeats(docs, heavy, monkeypatch):
     monkeypatch.setattr(suffixes, "HEAVY", heavy)  # 1: all grams take the way of very frequent ones
     rows = suffixes.repeated_bytes(docs).collect()

@@ -2,7 +2,8 @@
 
 Equal strings of LENGTH bytes are brought together first. Each of them has an anchor, the 64-byte gram in it with the
 smallest hash, and equal strings have it at the same place. Texts are cut around the anchors whose gram occurs
-elsewhere too; the cuts of one gram meet in one task. There a suffix array of the cuts is built by prefix doubling.
+elsewhere too. Equal cuts are counted as one first, so a passage with very many copies is small from here on; the
+different cuts of one gram meet in one task. There a suffix array of the cuts is built by prefix doubling.
 In suffix order, the neighbours of a suffix with which it shares LENGTH bytes form a block. A suffix has an earlier
 match of that length exactly if a smaller position stands before or behind it in its block (its longest previous
 factor is at least LENGTH), so the smallest position of a block is the first copy and the others are later ones.
@@ -18,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, durable
+from ._shared import documents, durable, small
 
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of cuts in one suffix array. Cuts of one gram stay together unless they are more than HEAVY.
 BATCH = 1 << 20
-#: Grams with more cuts than this are resolved by hashes of their strings instead, spread over tasks.
-HEAVY = 4_000
+#: Grams with more different cuts than this are resolved by digests of their strings instead, spread over tasks: a
+#: suffix array takes some 60 bytes of memory for each byte of its cuts, which are of 270 bytes on average.
+HEAVY = 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -116,51 +118,69 @@ def runs(flags: np.ndarray) -> list[list[int]]:
     return [[int(a), int(b) - 1] for a, b in edges.reshape(-1, 2)]
 
 
+PLACE = "struct<null:boolean,doc:long,th:long,tc:long,lo:int>"
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
+    """A row for each text and different gram among its anchors, with the first and last starts of the strings of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ths, tcs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = batch.column(2)
             for k in range(0, len(ths), 1024):
-                got = [anchors(t.encode("utf-8", "surrogatepass")) for t in texts.slice(k, 1024).to_pylist()]
-                sizes = [len(g[0]) for g in got]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([g[0] for g in got]).view(np.int64)), pa.array(np.repeat(ths[k : k + 1024], sizes)), pa.array(np.repeat(tcs[k : k + 1024], sizes)), pa.array(np.concatenate([g[1] for g in got]), pa.int32()), pa.array(np.concatenate([g[2] for g in got]), pa.int32())],
-                    names=["gram", "th", "tc", "lo", "hi"],
-                )
-
-    return docs.mapInArrow(run, "gram long, th long, tc long, lo int, hi int")
+                grams, sizes, counts, los, his = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for t in texts.slice(k, 1024).to_pylist():
+                    gram, lo, hi = anchors(t.encode("utf-8", "surrogatepass"))
+                    order = np.argsort(gram, kind="stable")
+                    gram = gram[order]
+                    first = np.flatnonzero(np.diff(gram, prepend=~gram[:1])) if len(gram) else np.zeros(0, np.int64)
+                    grams.append(gram[first])
+                    sizes.append(len(first))
+                    counts.append(np.diff(np.append(first, len(gram))))
+                    los.append(lo[order])
+                    his.append(hi[order])
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int32())) for x in (los, his)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(ths[k : k + 1024], sizes)), pa.array(np.repeat(tcs[k : k + 1024], sizes)), *lists], names=["gram", "th", "tc", "los", "his"])
+
+    return docs.mapInArrow(run, "gram long, th long, tc long, los array<int>, his array<int>")
 
 
 def cut_rows(marked: DataFrame) -> DataFrame:
-    """gram, ch (digest of the cut), doc, th, tc, lo, cut for the marked anchors of each text."""
+    """gram, ch (digest of the cut), doc, th, tc, los (where it starts), cut: the different cuts around each text's marked anchors."""
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+    names = ["gram", "ch", "doc", "th", "tc", "los", "cut"]
+
+    def made(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
+        for batch in small(batches):
+            out: list[list] = [[] for _ in names]
             for doc, th, tc, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for m in marks:
-                    cut = data[m["lo"] : m["hi"] + LENGTH]
-                    for column, value in zip(out, (m["gram"], int.from_bytes(hashlib.blake2b(cut, digest_size=8).digest(), "little", signed=True), doc, th, tc, m["lo"], cut), strict=True):
-                        column.append(value)
+                    found: dict[bytes, list[int]] = {}
+                    for lo, hi in zip(m["los"], m["his"], strict=True):
+                        found.setdefault(data[lo : hi + LENGTH], []).append(lo)
+                    for cut, los in found.items():
+                        for column, value in zip(out, (m["gram"], hashlib.blake2b(cut, digest_size=16).digest(), doc, th, tc, sorted(los), cut), strict=True):
+                            column.append(value)
                 if len(out[0]) >= 20_000:
                     yield made(out)
-                    out = [[], [], [], [], [], [], []]
+                    out = [[] for _ in names]
             yield made(out)
 
-    def made(out: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["gram", "ch", "doc", "th", "tc", "lo", "cut"])
-
-    return marked.mapInArrow(run, "gram long, ch long, doc long, th long, tc long, lo int, cut binary")
+    return marked.mapInArrow(run, "gram long, ch binary, doc long, th long, tc long, los array<int>, cut binary")
 
 
-FOUND = "th long, tc long, spans array<array<int>>, later array<array<int>>"
+FOUND = "gram long, ch binary, anywhere array<array<int>>, later array<array<int>>"
 
 
 def resolved(cuts: DataFrame) -> DataFrame:
-    """th, tc, spans and later of cuts that come sorted by gram: first and last byte of what has an equal string anywhere, and of what has one earlier."""
+    """Of different cuts (gram, ch, place, cut) that come sorted by gram: gram, ch, anywhere and later, the first and last
+    bytes within the cut of what has an equal string in another cut (or again in this one), and of what has one earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -174,62 +194,44 @@ def resolved(cuts: DataFrame) -> DataFrame:
                         held, size = [], 0
                     gram = row[0]
                 held.append(row)
-                size += len(row[6])
+                size += len(row[3])
         if held:
             yield solve(held)
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        held.sort(key=lambda r: (r[2] is None, r[2] or 0, r[3], r[4], r[5]))
-        first: dict[bytes, int] = {}
-        same: list[int] = []  # for each row, the distinct cut that it is
-        distinct: list[bytes] = []
-        repeated = np.zeros(len(held), bool)
-        for r in held:
-            k = first.setdefault(r[6], len(distinct))
-            if k == len(distinct):
-                distinct.append(r[6])
-            else:
-                repeated[k] = True
-            same.append(k)
-        whole, earlier, after = repeats(distinct)
-        lengths = np.array([len(c) for c in distinct])
-        ends = np.cumsum(lengths)
-        owner = np.searchsorted(ends, whole, side="right")
-        bounds = np.searchsorted(owner, np.arange(len(distinct) + 1))
-        anywhere = earlier | after
-        spans, later, met = [], [], set()
-        for r, k in zip(held, same, strict=True):
-            a, b = bounds[k], bounds[k + 1]
-            lo, everything = r[5], [[r[5], r[5] + len(r[6]) - 1]]
-            spans.append(everything if repeated[k] else [[lo + x, lo + y + LENGTH - 1] for x, y in runs(anywhere[a:b])])
-            later.append(everything if k in met else [[lo + x, lo + y + LENGTH - 1] for x, y in runs(earlier[a:b])])
-            met.add(k)
+        held.sort(key=lambda r: (r[2]["null"], r[2]["doc"] or 0, r[2]["th"], r[2]["tc"], r[2]["lo"]))
+        whole, earlier, after = repeats([r[3] for r in held])
+        owner = np.searchsorted(np.cumsum([len(r[3]) for r in held]), whole, side="right")
+        bounds = np.searchsorted(owner, np.arange(len(held) + 1))
+        spans = lambda flags: [[[x, y + LENGTH - 1] for x, y in runs(flags[a:b])] for a, b in zip(bounds, bounds[1:], strict=False)]
         kinds = pa.list_(pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array([r[3] for r in held], pa.int64()), pa.array([r[4] for r in held], pa.int64()), pa.array(spans, kinds), pa.array(later, kinds)], names=["th", "tc", "spans", "later"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary()), pa.array(spans(earlier | after), kinds), pa.array(spans(earlier), kinds)], names=["gram", "ch", "anywhere", "later"])
 
-    return cuts.mapInArrow(run, FOUND)
+    return cuts.select("gram", "ch", "place", "cut").mapInArrow(run, FOUND)
 
 
 def spread(cuts: DataFrame) -> DataFrame:
-    """What resolved() gives, for cuts of grams with very many of them: equal strings meet by a 128-bit digest each."""
+    """What resolved() gives, for grams with very many different cuts: equal strings meet by a 128-bit digest each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                out: list[list] = [[], [], [], [], []]
-                for doc, th, tc, lo, cut in zip(*(part.column(c).to_pylist() for c in range(2, 7)), strict=True):
-                    for at in range(len(cut) - LENGTH + 1):
-                        for column, value in zip(out, (hashlib.blake2b(cut[at : at + LENGTH], digest_size=16).digest(), doc, th, tc, lo + at), strict=True):
-                            column.append(value)
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["string", "doc", "th", "tc", "at"])
-
-    strings = durable(cuts.mapInArrow(run, "string binary, doc long, th long, tc long, at int"), "strings")
-    place = F.struct(F.col("doc").isNull().alias("null"), "doc", "th", "tc", "at")
-    known = strings.groupBy("string").agg(F.min(place).alias("least"), F.max(place).alias("most")).where(F.col("least") != F.col("most")).select("string", "least")
-    span = F.array(F.array(F.col("at"), F.col("at") + LENGTH - 1))
-    return strings.join(known, "string").select("th", "tc", span.alias("spans"), F.when(place == F.col("least"), F.expr("cast(array() as array<array<int>>)")).otherwise(span).alias("later"))
+                strings, rows, ats = [], [], []
+                for row, cut in enumerate(part.column(3).to_pylist()):
+                    n = len(cut) - LENGTH + 1
+                    strings += [hashlib.blake2b(cut[at : at + LENGTH], digest_size=16).digest() for at in range(n)]
+                    rows += [row] * n
+                    ats += range(n)
+                taken = part.select(["gram", "ch", "place"]).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(strings, pa.binary()), pa.array(ats, pa.int32())], names=["gram", "ch", "place", "string", "at"])
+
+    strings = durable(cuts.select("gram", "ch", "place", "cut").mapInArrow(run, f"gram long, ch binary, place {PLACE}, string binary, at int"), "strings")
+    where = F.struct("place", "at", "ch")
+    known = strings.groupBy("string").agg(F.min(where).alias("least"), F.max(where).alias("most")).where(F.col("least") != F.col("most")).select("string", "least")
+    span = F.array(F.col("at"), F.col("at") + LENGTH - 1)
+    each = strings.join(known, "string").select("gram", "ch", span.alias("span"), F.when(where != F.col("least"), span).alias("after"))
+    return each.groupBy("gram", "ch").agg(F.collect_list("span").alias("anywhere"), F.collect_list("after").alias("later"))
 
 
 def digests(docs: DataFrame, text_col: str) -> list:
@@ -246,17 +248,26 @@ def passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), *digests(docs, text_col))
     copies = base.groupBy("th", "tc").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
     rows = anchor_rows(base.select("th", "tc", "_text"))
-    occurrence = "xxhash64(th, tc, lo)"
-    shared = rows.select("*", F.expr(f"min({occurrence}) over (partition by gram) != max({occurrence}) over (partition by gram)").alias("_shared"), F.expr(f"count(*) over (partition by gram) > {HEAVY}").alias("heavy")).where("_shared")
-    marks = durable(shared.groupBy("th", "tc").agg(F.collect_set(F.struct("gram", "lo", "hi", "heavy")).alias("marks")), "marks")
+    text_hash = "xxhash64(th, tc)"
+    shared = rows.select("*", F.expr(f"size(los) > 1 or min({text_hash}) over (partition by gram) != max({text_hash}) over (partition by gram)").alias("_shared")).where("_shared")
+    marks = durable(shared.groupBy("th", "tc").agg(F.collect_set(F.struct("gram", "los", "his")).alias("marks")), "marks")
     marked = base.join(marks.join(copies, ["th", "tc"]).withColumnRenamed("th", "_th").withColumnRenamed("tc", "_tc"), (F.col("th") == F.col("_th")) & (F.col("tc") == F.col("_tc")) & F.col("doc").eqNullSafe(F.col("first")))
-    chosen = lambda heavy: marked.select("doc", "th", "tc", "_text", F.expr(f"filter(marks, m -> {'' if heavy else 'not '}m.heavy)").alias("marks")).where(F.size("marks") > 0)
-    light = resolved(cut_rows(chosen(False)).repartition("gram").sortWithinPartitions("gram"))
-    found = light
-    if marks.where(F.exists("marks", lambda m: m.heavy)).take(1):
-        # Rows of equal doc_id and text would count as two places.
-        found = light.unionByName(spread(cut_rows(chosen(True)).dropDuplicates(["gram", "doc", "th", "tc", "lo"])))
-    some = durable(found.where((F.size("spans") > 0) | (F.size("later") > 0)), "passages").groupBy("th", "tc").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("later")).alias("later"))
+    cuts = durable(cut_rows(marked.select("doc", "th", "tc", "_text", "marks")), "cuts")
+    place = F.struct(F.col("doc").isNull().alias("null"), "doc", "th", "tc", F.col("los")[0].alias("lo"))
+    # Several starts in one text, or several texts, make a cut recur as a whole.
+    different = durable(cuts.groupBy("gram", "ch").agg(F.first("cut").alias("cut"), F.min(place).alias("place"), F.max(place).alias("_last"), F.max(F.size("los")).alias("_most")), "different")
+    sizes = different.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    sized = different.join(sizes, "gram")
+    solved = resolved(sized.where(F.col("_n") <= HEAVY).repartition("gram").sortWithinPartitions("gram"))
+    if sizes.where(F.col("_n") > HEAVY).take(1):
+        solved = solved.unionByName(spread(sized.where(F.col("_n") > HEAVY)))
+    known = different.select("gram", "ch", "place", ((F.col("place") != F.col("_last")) | (F.col("_most") > 1)).alias("again"), (F.octet_length("cut") - 1).alias("_end")).join(solved, ["gram", "ch"])
+    known = known.where(F.col("again") | (F.size("anywhere") > 0))
+    back = cuts.select("gram", "ch", "doc", "th", "tc", "los").join(known, ["gram", "ch"])
+    moved = lambda spans, los: f"flatten(transform({los}, lo -> transform({spans}, x -> array(lo + x[0], lo + x[1]))))"
+    full = "transform({0}, lo -> array(lo, lo + _end))"
+    spans = back.select("th", "tc", F.expr(f"case when again then {full.format('los')} else {moved('anywhere', 'los')} end").alias("spans"), F.when(place == F.col("place"), F.expr(f"concat({moved('later', 'slice(los, 1, 1)')}, {full.format('slice(los, 2, size(los))')})")).otherwise(F.expr(full.format("los"))).alias("later"))
+    some = durable(spans, "passages").groupBy("th", "tc").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("later")).alias("later"))
     return copies.join(some, ["th", "tc"], "left").where((F.col("n") > 1) | F.col("spans").isNotNull())
 
 
@@ -300,7 +311,7 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", keep_first: bool = F
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], []]
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
@@ -322,7 +333,7 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", keep_first: bool = Tru
     schema = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if spans:
