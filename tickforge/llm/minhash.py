@@ -15,6 +15,7 @@ many of them as two sets of similarity 0.8 cannot all differ in (prefix filterin
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ DEPTH, SIDE = 3, 11
 SMALL = 32
 #: A pair's minhashes agree in this share at least to be confirmed on the sets: five standard deviations below 0.8.
 LEAST_AGREEING = 0.58
+#: Edges that one task contracts, on average.
+LOCAL_EDGES = 500_000
 HASHES = DEPTH * 2 * SIDE
 MIX = np.random.default_rng(20).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64) | np.uint64(1)
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -98,6 +101,27 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return durable(made.withColumn("_rid", F.monotonically_increasing_id()), "signatures")
 
 
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the edges of one task, of bounded number, an edge from each node to the smallest that it reaches by them."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if parent[x] != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node) of every node on an edge (u, v), by alternating large and small stars.
 
@@ -116,6 +140,8 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where(F.col("u") != F.col("v")).distinct()
 
     state = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
+    # Chains shorten in each task first; rounds then join what lies in several.
+    state = durable(state.coalesce(max(1, math.ceil(state.count() / LOCAL_EDGES))).mapInArrow(contracted, "u long, v long"), "edges")
     told = None
     while True:
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
