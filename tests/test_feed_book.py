@@ -6,6 +6,8 @@ import pytest
 from tickforge.operators import book, feed
 from tickforge.operators.book import BookBuilder, Side
 from tickforge.operators.feed import Arbitrator
+from tickforge.plans import catalogue
+from tickforge.sources import adapters
 
 #: window, arrivals (line, seq), delivered or None, what the counts must hold
 FEEDS = {
@@ -127,3 +129,22 @@ def test_top_of_book(spark):
     assert (top.bid, top.ask, top.spread, top.bid_size, top.crossed) == (99.5, 100.0, 0.5, 200, 0)
     more = spark.createDataFrame([("I", 7, "ask", 99.5, 1)], frame.schema)
     assert book.top_of_book(book.levels_at(frame.union(more))).first().crossed == 1
+
+
+def test_registered_books_read_all_deltas(spark):
+    d = "/root/testdata/sf0.01"
+    found = catalogue.queries()
+    last = {}
+    rows = adapters.book_deltas(spark, d).orderBy("instrument", "seq").collect()
+    for r in rows:
+        last[r.instrument, r.side, r.price] = r.new_size
+    want = []
+    for instrument, side in {(i, s) for i, s, _ in last}:
+        prices = sorted((p for (i, s, p), n in last.items() if (i, s) == (instrument, side) and n > 0), reverse=side == "bid")
+        want += [(instrument, side, k + 1, p, last[instrument, side, p]) for k, p in enumerate(prices[:10])]
+    assert sorted(map(tuple, found["book_levels"](spark, d).collect())) == sorted(want)
+    best = {r.instrument: (r.best_bid, r.best_ask) for r in found["book_builder"](spark, d).collect()}
+    assert {r.instrument: (r.bid, r.ask) for r in found["top_of_book"](spark, d).collect()} == best
+    # The form as of a number still cuts where it is asked to.
+    early = book.levels_at(adapters.book_deltas(spark, d), 150)
+    assert sorted(map(tuple, early.collect())) != sorted(want)

@@ -173,8 +173,8 @@ QUERIES = {
     "arbitration_stats": lambda s, d: feed.arbitration_stats(adapters.packets(s, d)),
     "arbitrate_window": arbitrate_window,
     "feed_gaps": lambda s, d: feed.lost(adapters.packets(s, d)),
-    "book_levels": lambda s, d: book.levels_at(adapters.book_deltas(s, d), 150),
-    "top_of_book": lambda s, d: book.top_of_book(book.levels_at(adapters.book_deltas(s, d), 150)),
+    "book_levels": lambda s, d: book.levels_at(adapters.book_deltas(s, d)),
+    "top_of_book": lambda s, d: book.top_of_book(book.levels_at(adapters.book_deltas(s, d))),
     "book_builder": book_builder,
     "books_equal": books_equal,
     "frame_rows": frame_rows,
