@@ -460,6 +460,15 @@ def test_linked_parts(spark):
     assert cleaned[1] == "id [SECRET] and [SECRET]"
 
 
+def test_long_part_before_a_weak_one(spark):
+    texts = [f"token={'k9' * (n // 2)}{' ' * gap}client_id: abcd1234" for n in (520, 600, 800, 2000) for gap in (1, 5, 250, 256, 257)]
+    texts += [f"{'0a1b' * 500} client_id: abcd1234", f"client_id: abcd1234 {'0a1b' * 500}", f"{'x ' * 100}token={'k' * 2000} client_id: abcd1234"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = {r.doc_id: "identifier" in [s.kind for s in r.secret_spans] for r in secrets.scan(frame).collect()}
+    assert linked == {k: " " * 257 not in t for k, t in enumerate(texts)}
+    assert secrets.redact(frame.where("doc_id = 15")).first().text == "[SECRET] [SECRET]"
+
+
 def test_secret_edges(awkward):
     assert secrets.scan(awkward.limit(0)).count() == 0
     out = secrets.redact(awkward)

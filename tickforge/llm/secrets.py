@@ -4,7 +4,8 @@ Direct patterns (assign, access, hex) are reported wherever they match. Weak can
 alone: an unlabelled 40-character secret, an account identifier, an endpoint. They are reported only when a
 complementary part stands in the same scope, SCOPE code points at most from one to the other: an identifier needs a
 secret, a secret an identifier or an endpoint, an endpoint a secret. An interval join finds that: on the document
-and the scope's cell, then on the distance. A cell holds a bounded number of parts, so no document makes a large group.
+and the cells of a part's two ends, then on the distance. A cell holds a bounded number of ends, so no document makes a
+large group.
 Places are code points, ends exclusive.
 """
 
@@ -80,9 +81,11 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     parts = scanned.where(F.size("_weak") > 0).select("_rid", F.explode(F.concat("_base", F.transform("_weak", lambda s: F.struct(s.start.alias("start"), (s.k + len(BASE)).alias("k"), s.end.alias("end"), s.kind.alias("kind"))))).alias("s")).select("_rid", "s.*")
     role = F.create_map(*(F.lit(x) for kind in kinds for x in (kind, ROLES.get(kind) or WEAK[kind][1])))[F.col("kind")]
-    parts = parts.select("_rid", "start", "k", "end", "kind", role.alias("role"), F.floor(F.col("start") / SCOPE).alias("cell"))
-    ask = parts.where(F.col("k") >= len(BASE)).withColumn("cell", F.explode(F.sequence(F.floor((F.col("start") - 2 * SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE)))).alias("a")
-    other = parts.alias("b")
+    parts = parts.select("_rid", "start", "k", "end", "kind", role.alias("role"))
+    cell = lambda place: F.floor(place / SCOPE)
+    ask = parts.where(F.col("k") >= len(BASE)).withColumn("cell", F.explode(F.sequence(cell(F.col("start") - SCOPE), cell(F.col("end") + SCOPE)))).alias("a")
+    # Of a part before a, the end is in reach; of one behind it, the start. A part may be of any length.
+    other = parts.withColumn("cell", F.explode(F.array_distinct(F.array(cell(F.col("start")), cell(F.col("end")))))).alias("b")
     complementary = ((F.col("a.role") == "secret") & F.col("b.role").isin("id", "endpoint")) | ((F.col("a.role") != "secret") & (F.col("b.role") == "secret"))
     apart = (F.col("b.start") >= F.col("a.end")) | (F.col("a.start") >= F.col("b.end"))
     near = (F.col("b.start") - F.col("a.end") <= SCOPE) & (F.col("a.start") - F.col("b.end") <= SCOPE)
