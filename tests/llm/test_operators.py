@@ -469,6 +469,14 @@ def test_long_part_before_a_weak_one(spark):
     assert secrets.redact(frame.where("doc_id = 15")).first().text == "[SECRET] [SECRET]"
 
 
+def test_long_weak_parts_are_whole(spark):
+    weak = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    texts = [f"{weak} login: {'a' * 5000} end", f"{weak} postgres://user:{'pw' * 5000}@host end", f"postgres://user:{'pw' * 5000}@host {weak} end"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cleaned = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert cleaned == dict.fromkeys(range(3), "[SECRET] [SECRET] end")
+
+
 def test_secret_edges(awkward):
     assert secrets.scan(awkward.limit(0)).count() == 0
     out = secrets.redact(awkward)

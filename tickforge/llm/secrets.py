@@ -28,8 +28,8 @@ BASE = {
 #: Weak kinds: pattern and role.
 WEAK = {
     "secret40": (r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", "secret"),
-    "identifier": (r"""(?i:client_?id|access_?key_?id|account_?id|user_?name|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{4,64}""", "id"),
-    "endpoint": (r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@%-]{4,128}", "endpoint"),
+    "identifier": (r"""(?i:client_?id|access_?key_?id|account_?id|user_?name|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{4,}+""", "id"),
+    "endpoint": (r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@%-]{4,}+", "endpoint"),
 }
 ROLES = {"assign": "secret", "hex": "secret", "access": "id"}
 
