@@ -428,6 +428,19 @@ def test_toxicity_edges(spark, awkward):
     assert 0 <= long(["z" * 100_000 + " idiot"])[0] <= 1
 
 
+def test_local_search_leaves_no_step():
+    rng = random.Random(1)
+    lengths = [rng.randint(400, 1100) for _ in range(1024)]
+    bins = packing.local_search(packing.best_fit(lengths, 2048), lengths, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(1024))
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    assert max(fill) <= 2048 and len(bins) < 388
+    for a, source in enumerate(bins):
+        for b, target in enumerate(bins):
+            if a != b and fill[b] >= fill[a]:
+                assert packing.best_swap(source, target, 2048 - fill[b], lengths) is None
+
+
 # --- secrets
 
 

@@ -12,7 +12,7 @@ import functools
 import math
 import unicodedata
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,81 +123,93 @@ def best_fit(lengths: list[int], most: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], most: int, tries: int = 64) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], most: int) -> list[list[int]]:
     """Try to empty the least filled bins into the others by moves and swaps that raise the sum of squared fills.
 
     A step takes from the source bin one item into a target with room for it, or one item for a smaller one of the
-    target, or two items for one that is smaller than both together. A source that cannot be emptied stays as it
-    became. tries: how many sources are tried in a row without one running empty, a limit of effort that leaves
-    every item placed.
+    target, or two items for one that is smaller than both together. It ends where no step is left between any two
+    bins, or at as many bins as the total needs. A pair of bins is tried again only after one of them has changed.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    total, failed = sum(fill), 0
-    least = -(-total // most)
+    least = -(-sum(fill) // most)
     live = {b for b in range(len(bins)) if bins[b]}
-    order = sorted(live, key=lambda b: fill[b])
     rooms = sorted((most - fill[b], b) for b in live if fill[b] < most)
+    clock, changed, tried = 0, [0] * len(bins), [-1] * len(bins)  # tried: the clock when no step from a bin was left
 
     def room_changes(b: int, by: int) -> None:
         if fill[b] < most:
             rooms.pop(bisect_left(rooms, (most - fill[b], b)))
         fill[b] += by
+        changed[b] = clock
         if fill[b] < most and bins[b]:
             insort(rooms, (most - fill[b], b))
 
-    for source in order:
-        if len(live) <= least or failed >= tries:
-            break
-        moved = True
-        while moved and bins[source]:
-            moved = False
-            for x in sorted(bins[source], key=lambda i: -lengths[i]):
-                at = next((k for k in range(bisect_left(rooms, (lengths[x], -1)), len(rooms)) if rooms[k][1] != source and fill[rooms[k][1]] >= fill[source] - lengths[x]), None)
-                if at is not None:
-                    target = rooms[at][1]
-                    bins[source].remove(x)
-                    bins[target].append(x)
-                    room_changes(target, lengths[x])
-                    room_changes(source, -lengths[x])
-                    moved = True
-                    break
-            if moved or not bins[source]:
+    def step(source: int) -> bool:
+        nonlocal clock
+        since = tried[source] if changed[source] <= tried[source] else -1
+        for x in sorted(bins[source], key=lambda i: -lengths[i]):
+            at = next((k for k in range(bisect_left(rooms, (lengths[x], -1)), len(rooms)) if rooms[k][1] != source and fill[rooms[k][1]] > fill[source] - lengths[x]), None)
+            if at is not None:
+                clock += 1
+                target = rooms[at][1]
+                bins[source].remove(x)
+                bins[target].append(x)
+                room_changes(target, lengths[x])
+                room_changes(source, -lengths[x])
+                return True
+        for room, target in reversed(rooms):  # the most room first
+            if target == source or fill[target] < fill[source] or changed[target] <= since:
                 continue
-            for room, target in rooms[-256:][::-1]:  # the most room first; the rest have less to offer
-                if target == source or fill[target] < fill[source]:
-                    continue
-                swap = best_swap(bins[source], bins[target], room, lengths)
-                if swap:
-                    give, take = swap
-                    for i in give:
-                        bins[source].remove(i)
-                        bins[target].append(i)
-                    bins[target].remove(take)
-                    bins[source].append(take)
-                    by = sum(lengths[i] for i in give) - lengths[take]
-                    room_changes(target, by)
-                    room_changes(source, -by)
-                    moved = True
-                    break
-        if not bins[source]:
-            live.discard(source)
-            failed = 0
-        else:
-            failed += 1
+            swap = best_swap(bins[source], bins[target], room, lengths)
+            if swap:
+                clock += 1
+                give, take = swap
+                for i in give:
+                    bins[source].remove(i)
+                    bins[target].append(i)
+                bins[target].remove(take)
+                bins[source].append(take)
+                by = sum(lengths[i] for i in give) - lengths[take]
+                room_changes(target, by)
+                room_changes(source, -by)
+                return True
+        tried[source] = clock
+        return False
+
+    moved = True
+    while moved and len(live) > least:
+        moved = False
+        for source in sorted(live, key=lambda b: fill[b]):
+            if len(live) <= least:
+                break
+            while bins[source] and step(source):
+                moved = True
+            if not bins[source]:
+                live.discard(source)
     return [b for b in bins if b]
 
 
 def best_swap(source: list[int], target: list[int], room: int, lengths: list[int]) -> tuple[list[int], int] | None:
     """What of source (one item or two) to give for which item of target, so that target gains most; None if nothing does."""
     best, found = 0, None
-    for y in target:
-        for k, x in enumerate(source):
-            gain = lengths[x] - lengths[y]
-            if best < gain <= room:
-                best, found = gain, ([x], y)
-            for z in source[k + 1 : k + 33]:
-                if best < gain + lengths[z] <= room:
-                    best, found = gain + lengths[z], ([x, z], y)
+    held = sorted(source, key=lambda i: lengths[i])
+    sizes = [lengths[i] for i in held]
+    for y in {lengths[i]: i for i in target}.values():
+        bound = room + lengths[y]
+        k = bisect_right(sizes, bound) - 1
+        if k >= 0 and sizes[k] - lengths[y] > best:
+            best, found = sizes[k] - lengths[y], ([held[k]], y)
+        i, j = 0, len(sizes) - 1
+        while i < j:  # the largest sum of two within the bound
+            both = sizes[i] + sizes[j]
+            if both > bound:
+                j -= 1
+                continue
+            if both - lengths[y] > best:
+                best, found = both - lengths[y], ([held[i], held[j]], y)
+            i += 1
+        if best == room:
+            break
     return found
 
 
