@@ -1,12 +1,12 @@
-"""Passages that occur more than once, found with suffix arrays and longest-previous-factor arrays.
+"""Passages that occur more than once, found with suffix ranks of bounded depth.
 
 Equal strings of LENGTH bytes are brought together first. Each of them has an anchor, the 64-byte gram in it with the
 smallest hash, and equal strings have it at the same place. Texts are cut around the anchors whose gram occurs
 elsewhere too. Equal cuts are counted as one first, so a passage with very many copies is small from here on; the
-different cuts of one gram meet in one task. There a suffix array of the cuts is built by prefix doubling.
-In suffix order, the neighbours of a suffix with which it shares LENGTH bytes form a block. A suffix has an earlier
-match of that length exactly if a smaller position stands before or behind it in its block (its longest previous
-factor is at least LENGTH), so the smallest position of a block is the first copy and the others are later ones.
+different cuts of one gram meet in one task. There the suffixes of the cuts are ranked at depth LENGTH by prefix doubling.
+Suffixes of equal rank share LENGTH bytes and form a block. A suffix has an earlier match of that length exactly if
+its block holds a smaller position, so the smallest position of a block is the first copy and the others are later
+ones. No longest-previous-factor array is computed; its entries of at least LENGTH would mark the same suffixes.
 """
 
 from __future__ import annotations
