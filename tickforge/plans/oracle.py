@@ -99,7 +99,7 @@ delivered AS (SELECT feed, seq, line, payload, coalesce(lead(seq) OVER (PARTITIO
 BOOK = f"""{EV},
 deltas AS (SELECT event_type AS instrument, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq, CASE WHEN event_id % 2 = 0 THEN 'bid' ELSE 'ask' END AS side,
   CAST(CASE WHEN event_id % 2 = 0 THEN 100 - cents % 20 ELSE 100 + cents % 20 END AS DOUBLE) AS price, CASE WHEN event_id % 4 >= 2 AND event_id % 3 = 0 THEN 0 ELSE 1 + event_id % 500 END AS new_size FROM ev),
-lastd AS (SELECT instrument, side, price, arg_max(new_size, seq) AS size FROM deltas WHERE seq <= 150 GROUP BY instrument, side, price),
+lastd AS (SELECT instrument, side, price, arg_max(new_size, seq) AS size FROM deltas GROUP BY instrument, side, price),
 levels AS (SELECT * FROM (SELECT instrument, side, CAST(row_number() OVER (PARTITION BY instrument, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END) AS INTEGER) AS level, price, size FROM lastd WHERE size > 0) WHERE level <= 10)"""
 LATENCY = "lat AS (SELECT (event_id * 7919) % 2000 AS ns FROM events)"
 TALLY = ", ".join(f"count(*) FILTER (flags & {m} <> 0) AS {n}" for n, m in [("bad_trades", 192), ("bad_bars", 63), ("ts_regressions", 256), ("seq_gaps", 512), ("volume_mismatches", 1024), ("count_mismatches", 2048), ("vwap_mismatches", 4096), ("ohlc_mismatches", 8192), ("crossed_quotes", 16384), ("locked_quotes", 32768), ("non_positive_quotes", 65536), ("zero_size_quotes", 131072), ("band_breaches", 262144)])
