@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +41,19 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, or name with underscores so that no column of df clashes with it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def split_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, by: str) -> DataFrame:
+    """rows joined with table on key, where table has each key once and in size how many of the rows have it.
+
+    The rows of a key with more than a thousandth of total, the number of rows, are dealt by a hash of the column by to
+    as many partitions as they have thousandths. Such keys are at most a thousand; only they and their shares are broadcast.
+    """
+    share = max(1, total // 1000)
+    ways = F.ceil(F.col(size) / share).cast("int")
+    hot = table.where(F.col(size) > share).select(F.col(key).alias("_key"), ways.alias("_ways"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
+    salted = dealt.withColumn("_salt", F.when(F.col("_ways") > 1, F.pmod(F.xxhash64(F.lit(3), F.col(by)), F.col("_ways")).cast("int")).otherwise(0)).drop("_key", "_ways")
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(ways, F.lit(1)) - 1)))
+    return salted.join(spread, [key, "_salt"]).drop("_salt")
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:

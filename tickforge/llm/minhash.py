@@ -6,11 +6,11 @@ similarity s share a key unless they differ throughout one collection, with a ch
 0.0008 at 0.8, 0.00002 at 0.87.
 
 Documents with equal sets form one class at first; only classes are compared. In each bucket (documents that share a
-key) all are compared with one centre, the document that shares most keys with others. What that leaves apart is
-compared across components: in small buckets pair by pair. Large buckets that still hold several components come from
-passages that many documents share; of their documents those are compared that share one of their rarest shingles, as
-many of them as two sets of similarity 0.8 cannot all differ in (prefix filtering, which loses no pair). Of all pairs,
-those with too few equal minhashes are dropped before sets are compared (LEAST_AGREEING).
+key) all are compared with one centre, the document that shares most keys with others: as many pairs as members. What
+that leaves in several components is compared across them, by prefix and position: each set's shingles are put in one
+order, rarest first, and a pair is formed only at a shingle early enough in both that what follows it could still make
+up the overlap that the similarity asks for. Every link passes that at its first common shingle, so none is lost, while
+documents that merely share a passage, or differ from a common original each in its own way, form no pair.
 """
 
 from __future__ import annotations
@@ -25,13 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, durable, small
+from ._shared import documents, durable, small, split_join
 
 DEPTH, SIDE = 3, 11
-#: Documents of buckets with more classes than this are compared by their rarest shingles.
-SMALL = 32
-#: A pair's minhashes agree in this share at least to be confirmed on the sets: 4.5 standard deviations below 0.8, which loses 0.000028 of the pairs of 0.8.
-LEAST_AGREEING = 0.58
+#: A pair of a bucket and its centre is confirmed on the sets if this share of its minhashes is equal: six standard
+#: deviations below 0.8, so that a pair of 0.8 is lost with a chance below 0.0000001.
+LEAST_AGREEING = 0.5
 #: Edges that one task contracts, on average.
 LOCAL_EDGES = 500_000
 HASHES = DEPTH * 2 * SIDE
@@ -153,29 +152,39 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).distinct()
 
 
-def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, text of the classes in wanted (node, distinct). Written out."""
-    asked = wanted.join(nodes.select("node", "th", "tc"), "node")
+def text_columns(docs: DataFrame) -> DataFrame:
+    """id, th, tc (digests of the text) and text of every row; null texts are empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("th"), F.crc32(text.cast("binary")).alias("tc"), text.alias("text")).join(asked, ["th", "tc"]).groupBy("node").agg(F.min("text").alias("text"))
-    return durable(texts, "near-texts")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.crc32(text.cast("binary")).alias("tc"), text.alias("text"))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose sets' intersection is at least percent % of their union. Written out."""
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the classes in wanted (node, distinct). Written out. Of a class's copies only the first row's text is read."""
+    asked = wanted.join(nodes.select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("tc").alias("_tc")), "node")
+    rows = text_columns(docs)
+    same = (F.col("th") == F.col("_th")) & (F.col("tc") == F.col("_tc")) & F.col("id").eqNullSafe(F.col("_id"))
+    return durable(rows.join(asked, same).groupBy("node").agg(F.min("text").alias("text")), "near-texts")
+
+
+def agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) that are of like size and have enough minhashes in common."""
     sized = nodes.select("node", "n_shingles", "hashes")
     agree = F.expr(f"size(filter(zip_with(hashes, hashes_v, (x, y) -> x = y), e -> e)) >= {LEAST_AGREEING} * {HASHES}")
-    near = (
+    return (
         pairs.join(sized.withColumnRenamed("node", "u"), "u")
         .join(sized.select(F.col("node").alias("v"), F.col("n_shingles").alias("n_v"), F.col("hashes").alias("hashes_v")), "v")
         .where((100 * F.least("n_shingles", "n_v") >= percent * F.greatest("n_shingles", "n_v")) & agree)
         .select("u", "v")
     )
+
+
+def confirmed(near: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) whose sets' intersection is at least percent % of their union. Written out."""
     near = durable(near, "near-pairs")
     texts = texts_of(near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct(), nodes, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, 256):
             known: dict[int, np.ndarray] = {}
             kept = []
             for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -191,34 +200,43 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
 
 
 def sharing_rare(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (u, v) across components of wanted (node, component) that share one of their rarest shingles and are of like size.
+    """Pairs (u, v) across components of wanted (node, component) that the order of their shingles does not rule out.
 
-    Of a set of m, the m - ceil(percent % of m) + 1 rarest count: a set of that similarity misses fewer than those.
+    Two sets of a and b shingles that reach the similarity t have t / (1 + t) of a + b in common at least. Shingles
+    are ordered by how many sets have them. At the first common one, what each set has from there on must make that up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, 256):
             sets = [shingles(t, n).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     sets = durable(texts_of(wanted.select("node"), nodes, docs).mapInArrow(run, "node long, shingles array<long>"), "shingles")
     each = sets.select("node", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    # Shingles of one document alone are the rarest; they take their places in the prefix without being listed.
+    # Shingles of one set alone are the rarest; they take their places in the order without being listed.
     ranked = each.join(common, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
     sized = ranked.join(sets.select("node", F.size("shingles").alias("m")), "node").join(wanted, "node")
-    rare = f"slice(ranked, 1, greatest(0, m - cast(ceil(m * {percent} / 100) as int) + 1 - (m - size(ranked))))"
-    prefix = durable(sized.select("node", "component", "m", F.explode(F.expr(rare)).alias("r")).select("node", "component", "m", F.col("r.shingle").alias("shingle")), "rare")
-    like = 100 * F.least("a.m", "b.m") >= percent * F.greatest("a.m", "b.m")
-    pairs = prefix.alias("a").join(prefix.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & like)
-    return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    # The larger of two sets shares one of its first m - percent % of m, + 1.
+    early = f"slice(ranked, 1, greatest(0, m - cast(ceil(m * {percent} / 100) as int) + 1 - (m - size(ranked))))"
+    placed = sized.select("node", "component", "m", (F.col("m") - F.size("ranked")).alias("alone"), F.posexplode(F.expr(early)).alias("pos", "r"))
+    prefix = durable(placed.select("node", "component", "m", (F.col("m") - F.col("alone") - F.col("pos")).alias("rest"), F.col("r.shingle").alias("shingle")), "rare")
+    # rest: the shingles of the set from this one on.
+    enough = lambda rest, a, b: (100 + percent) * rest >= percent * (a + b)
+    a, b = prefix.where(enough(F.col("rest"), F.col("m"), F.col("m"))).alias("a"), prefix.alias("b")
+    smaller = (F.col("a.m") < F.col("b.m")) | ((F.col("a.m") == F.col("b.m")) & (F.col("a.node") < F.col("b.node")))
+    like = 100 * F.col("a.m") >= percent * F.col("b.m")
+    reach = enough(F.least("a.rest", "b.rest"), F.col("a.m"), F.col("b.m"))
+    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & smaller & (F.col("a.component") != F.col("b.component")) & like & reach)
+    return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows of signatures() with node (their class), the confirmed links between classes, and node, component."""
+    """The rows of signatures(), their classes (cls, node, copies, first), and node, component of all that are linked."""
     rows = signatures(docs, n)
-    classes = rows.where(F.col("n_shingles") > 0).groupBy("cls").agg(F.min("_rid").alias("node"))
-    nodes = durable(rows.join(classes.select(F.col("node").alias("_rid")), "_rid", "left_semi").withColumnRenamed("_rid", "node").drop("doc_id", "cls"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "_rid")).alias("first")
+    classes = durable(rows.where(F.col("n_shingles") > 0).groupBy("cls").agg(F.min("_rid").alias("node"), F.count(F.lit(1)).alias("copies"), first), "sets")
+    nodes = durable(rows.join(classes.select(F.col("node").alias("_rid")), "_rid", "left_semi").withColumnRenamed("_rid", "node").drop("cls"), "classes")
     tensor = f"flatten(transform(slice(shorts, 1, {SIDE}), (a, i) -> transform(slice(shorts, {SIDE + 1}, {SIDE}), (b, j) -> xxhash64(i, j, a, b))))"
     keys = nodes.select("node", F.explode(F.expr(tensor)).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
@@ -226,40 +244,38 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     centres = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
     pairs = members.join(centres, "key").where(F.col("node") != F.col("centre")).select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
-    links = confirmed(pairs, nodes, docs, n, percent)
+    links = confirmed(agreeing(pairs, nodes, percent), nodes, docs, n, percent)
     found = durable(components(links), "components")
 
-    # Buckets that still hold several components: compare across them.
-    placed = members.join(found, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("component"))
-    mixed_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    apart = durable(placed.join(mixed_, "key").where(F.col("size") > 2), "apart")
-    cells = apart.where(F.col("size") <= SMALL)
-    across = cells.alias("a").join(cells.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")))
-    left = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    crowd = durable(apart.where(F.col("size") > SMALL).select("node", "component").distinct(), "crowd")
-    if crowd.take(1):
-        left = left.unionByName(sharing_rare(crowd, nodes, docs, n, percent))
-    left = left.distinct()
-    more = confirmed(left, nodes, docs, n, percent)
+    # Buckets of three and more that still hold several components: compare across them.
+    placed = members.where(F.col("size") > 2).join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    crowd = durable(placed.join(apart, "key").select("node", "component").distinct(), "crowd")
+    more = confirmed(sharing_rare(crowd, nodes, docs, n, percent), nodes, docs, n, percent)
     if more.take(1):
         links = links.unionByName(more)
         found = durable(components(links), "components")
-    return rows.join(classes, "cls", "left"), links, found
+    return rows, classes, found
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id of the document's group), kept, th, tc, first and copies.
+    """doc_id, n_shingles, component_id (the smallest doc_id of the document's group), kept, th, tc, first and _rid.
 
     Null and empty texts, and texts of white space alone, are linked with nothing. first marks one row of each group,
     the smallest by doc_id (nulls last), even where doc_ids repeat or are null; kept is doc_id = component_id, for a
-    null doc_id the same as first. copies counts the rows of equal doc_id and text. th and tc are digests of the text.
-    An empty table gives no rows.
+    null doc_id the same as first. th and tc are digests of the text, _rid numbers the rows. An empty table gives no rows.
+
+    Groups are named on classes, whose names then go to the rows; both joins deal large groups to several tasks.
     """
-    rows, _, found = classes_and_links(docs, n, percent)
-    lone = -F.col("_rid") - 1  # documents without shingles
-    group = rows.join(found, "node", "left").select("doc_id", "th", "tc", "n_shingles", "_rid", F.coalesce("component", "node", lone).alias("_group"))
-    heads = group.groupBy("_group").agg(F.min("doc_id").alias("component_id"), F.min_by("_rid", F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_head"))
-    out = group.join(heads, "_group").withColumn("first", F.col("_rid") == F.col("_head"))
+    rows, classes, found = classes_and_links(docs, n, percent)
+    total = rows.count()
+    grouped = classes.join(found, "node", "left").select("cls", "copies", "first", F.coalesce("component", "node").alias("_group"))
+    heads = grouped.groupBy("_group").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("classes"))
+    named = split_join(grouped, heads, "_group", "classes", total, "cls").select("cls", "copies", F.col("head.id").alias("component_id"), F.col("head._rid").alias("_head"))
+    texts = split_join(rows.where(F.col("n_shingles") > 0), named, "cls", "copies", total, "_rid")
+    lone = rows.where(F.col("n_shingles") == 0).withColumns({"component_id": F.col("doc_id"), "_head": F.col("_rid")})
+    columns = ["doc_id", "n_shingles", "component_id", "th", "tc", "_rid", "_head"]
+    out = texts.select(*columns).unionByName(lone.select(*columns)).withColumn("first", F.col("_rid") == F.col("_head"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first")).alias("kept"), "th", "tc", "first", "_rid")
 
 
