@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,15 +58,19 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: in
     return salted.join(spread, [key, "_salt"]).drop("_salt")
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of a few rows, so that a worker never holds many texts as Python objects.
+def released() -> None:
+    """Give back the memory that Arrow and the C library keep for reuse: workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
-    Memory that Arrow keeps for reuse is given back at the end: workers live on after their task.
-    """
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that a worker never holds many texts as Python objects."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
-    pa.default_memory_pool().release_unused()
+    released()
 
 
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str, id_col: str = "doc_id", text_col: str = "text", type_: str = "long") -> DataFrame:
