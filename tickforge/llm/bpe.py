@@ -3,59 +3,115 @@
 The automaton reads tokens. It starts as one state with a loop for every base symbol and is changed by one gadget
 for each merge u v -> c, in rank order: the state that u leads to is split, the copy that u now leads to loses its
 arc for v, and c becomes an arc from wherever u was one, to where v led. What it accepts in the end are exactly the
-token sequences that the merges produce, one for each string. So a word is encoded left to right: for each of its
-prefixes one state at most is live, found by the table of arcs over the tokens that end there.
+token sequences that the merges produce, one for each string.
 
-States are kept as differences. A state is the token that led to it; what its copies lost is a table of (u, v) to
-the rank at which the arc went. The token c = u v leads to the state of v as it stood when c was made, so an arc is
-gone from c if it went from v before c's rank; and an arc for d = v w was copied from that for v when d was made.
+All arcs of a token lead to one state at any time, so a table of targets gives the next state, and a state has an arc
+for every token by default: a copy shares all arcs of the state it was split from but the one it loses, and those that
+would have been made from it later. Numbered by their left ends (a token before all that it is the left end of, and
+these by rank), the tokens that one gadget takes from a state are the lost one and one range. So a state's row of the
+table is a list of ranges that it has no arc for, and a transition is a search in that row and a look at the targets.
+
+A word is encoded left to right: for each of its prefixes one state at most is live, since the string has one path.
+Decoding emits the labels of the arcs passed.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import documents, map_texts
-from ._words import Remembered, Spec
-
-
-def byte_symbols() -> list[str]:
-    """The printable stand-in of every byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
+from ._words import Remembered, Spec, byte_symbols
 
 
 class MergeAutomaton:
-    """Deterministic automaton over tokens for a list of merges and the suffix that marks a word's last symbol."""
+    """Deterministic automaton over tokens for a list of merges and the suffix that marks a word's last symbol.
+
+    target: the state that a token's arcs lead to. Row s of the table, from row[s] to row[s + 1], holds the ranges of
+    token numbers, first in low and last in high, that state s has no arc for. number: a token's number in these.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.suffix, self.vocab = suffix, vocab
-        self.gone: dict[tuple[str, str], int] = {}
-        right: dict[str, list[tuple[str, int]]] = {}  # states a token's state comes from, with the rank up to which losses count
-        left: dict[str, list[tuple[str, int]]] = {}  # arcs a token's arc was copied from, likewise
-        never = len(merges)
+        self.label = {i: t for t, i in vocab.items()}
+        self.compile(merges)
+        self.trie: dict[str, list] = {}  # of each symbol: the arc of the token that ends with it, if any, and what may follow
+        for token, arc in vocab.items():
+            node: list = [None, self.trie]
+            for symbol in self.symbols(token):
+                node = node[1].setdefault(symbol, [None, {}])
+            node[0] = arc
+
+    def compile(self, merges: list[tuple[str, str]]) -> None:
+        parent, lost = [-1], [("", -1)]  # of each state: what it was split from, and the token it lost at which rank
+        target = dict.fromkeys(self.vocab, 0)
+        children: dict[str, list[tuple[int, str]]] = {}  # tokens by their left ends, with the rank that made them
+        made: set[str] = set()
         for rank, (u, v) in enumerate(merges):
-            c = u + v
-            self.gone.setdefault((u, v), rank)
-            if c in right:  # a second pair that gives the same token adds no new arc
+            c, beyond = u + v, target[v]
+            parent.append(target[u])
+            lost.append((v, rank))
+            target[u] = len(parent) - 1
+            if c not in made:  # a second pair that gives the same token adds no new arc
+                made.add(c)
+                target[c] = beyond
+                children.setdefault(u, []).append((rank, c))
+        number, last = self.numbered(children, made)
+
+        @functools.cache
+        def gap(state: int) -> list[tuple[int, int]]:
+            """The numbers of the token that a state lost and of what would have been made of it from then on."""
+            v, rank = lost[state]
+            later = children.get(v, [])
+            k = bisect_left(later, (rank, ""))
+            return [(number[v], number[v])] + ([(number[later[k][1]], last[v])] if k < len(later) else [])
+
+        live = sorted(set(target.values()))
+        place = {state: k for k, state in enumerate(live)}
+        self.row, self.low, self.high = array("i", [0]), array("i"), array("i")
+        for state in live:
+            ranges = []
+            while state > 0:
+                ranges += gap(state)
+                state = parent[state]
+            end = -2
+            for a, b in sorted(ranges):
+                if a > end + 1:
+                    self.low.append(a)
+                    self.high.append(b)
+                else:
+                    self.high[-1] = max(end, b)
+                end = self.high[-1]
+            self.row.append(len(self.low))
+        size = max(self.vocab.values(), default=-1) + 1
+        self.number, self.target = array("i", [0]) * size, array("i", [0]) * size
+        for token, arc in self.vocab.items():
+            self.number[arc], self.target[arc] = number[token], place[target[token]]
+        self.start = len(live)  # nothing was read yet: every arc is there
+        self.row.append(len(self.low))
+
+    def numbered(self, children: dict[str, list[tuple[int, str]]], made: set[str]) -> tuple[dict[str, int], dict[str, int]]:
+        """The number of each token, and the last number of those that it is the left end of."""
+        number: dict[str, int] = {}
+        last: dict[str, int] = {}
+        for root in self.vocab:
+            if root in made:
                 continue
-            right[c] = [(s, min(r, rank)) for s, r in right.get(v, [(v, never)])]
-            left[c] = [(s, min(r, rank)) for s, r in left.get(u, [(u, never)])]
-            right[c].insert(0, (c, never))
-            left[c].insert(0, (c, never))
-        self.right, self.left, self.never = right, left, never
-        self.arcs: dict[tuple[str, str], bool] = {}
-        self.trie: dict = {}
-        for token in {*vocab}:
-            node = self.trie
-            for symbol in self.symbols(token):
-                node = node.setdefault(symbol, {})
-            node[""] = token
+            stack = [(root, False)]
+            while stack:
+                token, done = stack.pop()
+                if done:
+                    last[token] = len(number) - 1
+                    continue
+                number[token] = len(number)
+                stack.append((token, True))
+                stack += [(c, False) for _, c in reversed(children.get(token, []))]
+        return number, last
 
     def symbols(self, token: str) -> list[str]:
         end = self.suffix
@@ -64,56 +120,46 @@ class MergeAutomaton:
             return [*body[:-1], body[-1] + end]
         return [*token]
 
-    def arc(self, state: str, token: str) -> bool:
-        """Whether the automaton has an arc for token from the state that the token state leads to.
-
-        The pair (r, l) went at the rank of its merge. It counts if r was still the end of state's token then, and l
-        not yet part of a larger start of token; of equal pairs that overlap, the left one merges first.
-        """
-        known = self.arcs.get((state, token))
-        if known is None:
-            gone, never = self.gone, self.never
-            known = True
-            for r, until in self.right.get(state, ((state, never),)):
-                for s, made in self.left.get(token, ((token, never),)):
-                    rank = gone.get((r, s), never)
-                    if rank < until and rank <= made and rank < never:
-                        known = False
-                        break
-                if not known:
-                    break
-            if len(self.arcs) > 2_000_000:
-                self.arcs.clear()
-            self.arcs[(state, token)] = known
-        return known
+    def step(self, state: int, arc: int) -> int:
+        """The state that arc leads to from state, -1 where state has no such arc."""
+        at, first = self.number[arc], self.row[state]
+        k = bisect_right(self.low, at, first, self.row[state + 1]) - 1
+        return -1 if k >= first and self.high[k] >= at else self.target[arc]
 
-    def encode(self, word: str) -> list[str]:
-        """The tokens of a word given in stand-in symbols."""
+    def path(self, word: str) -> list[int]:
+        """The arcs that a word, given in stand-in symbols, passes from the start."""
         symbols = [*word[:-1], word[-1] + self.suffix] if self.suffix else [*word]
         n = len(symbols)
-        state: list[str | None] = [None] * (n + 1)  # the one live state after each prefix: its last token
-        state[0] = ""
+        state, into = [-1] * (n + 1), [(0, 0)] * (n + 1)  # the one live state after each prefix, and where from by which arc
+        state[0] = self.start
+        row, low, high, numbers = self.row, self.low, self.high, self.number
         for at in range(n):
             here = state[at]
-            if here is None:
+            if here < 0:
                 continue
-            node = self.trie
-            for end in range(at, n):
-                node = node.get(symbols[end])
+            following, first, end = self.trie, row[here], row[here + 1]
+            for to in range(at, n):
+                node = following.get(symbols[to])
                 if node is None:
                     break
-                token = node.get("")
-                if token is not None and state[end + 1] is None and (at == 0 or self.arc(here, token)):
-                    state[end + 1] = token
+                arc, following = node
+                if arc is not None and state[to + 1] < 0:
+                    number = numbers[arc]
+                    k = bisect_right(low, number, first, end) - 1
+                    if k < first or high[k] < number:
+                        state[to + 1], into[to + 1] = self.target[arc], (at, arc)
         out, at = [], n
         while at:
-            token = state[at]
-            if token is None:
+            if state[at] < 0:
                 raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
-            out.append(token)
-            at -= len(self.symbols(token))
+            at, arc = into[at]
+            out.append(arc)
         return out[::-1]
 
+    def encode(self, word: str) -> list[str]:
+        """The tokens of a word given in stand-in symbols."""
+        return [self.label[arc] for arc in self.path(word)]
+
 
 Coded = tuple[str, str]  # ids in decimal and labels of arcs, each joined by a space
 
@@ -126,12 +172,12 @@ class Encoder(Remembered[Coded]):
         model = spec.model
         self.vocab: dict[str, int] = model["vocab"]
         self.automaton = MergeAutomaton(self.vocab, [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"] or "")
-        self.labels = {i: t for t, i in [*self.vocab.items(), *spec.special.items()]}
+        self.labels = self.automaton.label | {i: t for t, i in spec.special.items()}
         self.shown, self.special = byte_symbols(), tuple(spec.special)
         super().__init__(spec, lambda pieces: [self.coded(self.piece(p)) for p in pieces], self.joined, lambda w: self.coded(self.word(w)), self.with_special)
 
     def piece(self, piece: str) -> list[int]:
-        return [self.vocab[t] for t in self.automaton.encode("".join([self.shown[b] for b in piece.encode()]))]
+        return self.automaton.path(piece if piece.isascii() and piece.isprintable() else "".join([self.shown[b] for b in piece.encode()]))
 
     def word(self, word: str) -> list[int]:
         """The ids of a word with special tokens in it, which part it."""
@@ -155,8 +201,8 @@ class Encoder(Remembered[Coded]):
         return list(map(int, " ".join([p[0] for p in next(self([text])) if p[0]]).split()))
 
     def decode(self, ids: list[int]) -> str:
-        """The labels of the arcs that the ids name, joined as a tokenizer without a decoder joins them."""
-        return " ".join([self.labels[i] for i in ids])
+        """The labels of the arcs passed, emitted in turn; a tokenizer without a decoder joins them by spaces."""
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 @functools.cache

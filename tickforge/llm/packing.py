@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import functools
 import math
-import unicodedata
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import documents, durable, small
-from ._words import Remembered, Spec
+from ._words import Remembered, Spec, byte_symbols
 
 SEQUENCE = 2048
 #: Pieces in one packing task. A group wastes less than a bin against packing all of them at once, or so.
@@ -32,8 +32,8 @@ GROUP = 16384
 class TextIds(Remembered[bytes]):
     """Token ids of whole texts by the tokenizers library, as little-endian 32-bit bytes.
 
-    New pieces go through the library together, as one text; the token that ends a word tells them apart. A word
-    goes through alone if a special token, or a character that changes when folded twice, could stand in it.
+    Words are split into pieces here, each of which goes through the library's model once. A word that a special
+    token could stand in goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -42,28 +42,19 @@ class TextIds(Remembered[bytes]):
         self.tokenizer, spec = Tokenizer.from_file(path), Spec(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = tuple(spec.special)
-        suffix, vocab = spec.model["end_of_word_suffix"], self.tokenizer.get_vocab_size()
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(vocab)]
-        self.last = np.array([bool(suffix) and n.endswith(suffix) for n in names])
-        super().__init__(spec, self.together, b"".join, self.alone, self.doubtful)
+        self.special, self.shown = tuple(spec.special), byte_symbols()
+        super().__init__(spec, self.modelled, b"".join, self.alone, self.with_special, 400_000)
 
     def alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def together(self, pieces: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(pieces):
-            return [self.alone(p) for p in pieces]
-        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def doubtful(self, word: str) -> bool:
-        if word.isascii():
-            return "<" in word and any(s in word for s in self.special)
-        once = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
-        return not unicodedata.is_normalized("NFC", once) or "".join([c.lower() for c in once]) != once or any(s in word for s in self.special)
+    def modelled(self, pieces: list[str]) -> list[bytes]:
+        tokenize, shown = self.tokenizer.model.tokenize, self.shown
+        found = [[t.id for t in tokenize(p if p.isascii() and p.isprintable() else "".join([shown[b] for b in p.encode()]))] for p in pieces]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+
+    def with_special(self, word: str) -> bool:
+        return "<" in word and any(s in word for s in self.special)
 
     def encode(self, text: str) -> bytes:
         return b"".join(next(self([text])))
