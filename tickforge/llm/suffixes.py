@@ -1,12 +1,13 @@
-"""Passages that occur more than once, found with suffix ranks of bounded depth.
+"""Passages that occur more than once, by longest-previous-factor arrays over suffix arrays of cuts.
 
 Equal strings of LENGTH bytes are brought together first. Each of them has an anchor, the 64-byte gram in it with the
 smallest hash, and equal strings have it at the same place. Texts are cut around the anchors whose gram occurs
 elsewhere too. Equal cuts are counted as one first, so a passage with very many copies is small from here on; the
-different cuts of one gram meet in one task. There the suffixes of the cuts are ranked at depth LENGTH by prefix doubling.
-Suffixes of equal rank share LENGTH bytes and form a block. A suffix has an earlier match of that length exactly if
-its block holds a smaller position, so the smallest position of a block is the first copy and the others are later
-ones. No longest-previous-factor array is computed; its entries of at least LENGTH would mark the same suffixes.
+different cuts of one gram meet in one task. There their suffixes are put in order by prefix doubling, to the depth of
+LENGTH bytes, with the common prefix of neighbours. In that order the nearest suffix to either side that starts earlier
+in the text (previous and next smaller position) has the longest common prefix with a suffix that anything earlier
+has: its longest previous factor. Where that reaches LENGTH, the string that starts there is a later copy. The same with
+larger positions tells what has a copy later on.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, durable, small
+from ._shared import documents, durable, small, split_join
 
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
@@ -69,8 +70,9 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes[at[first]], first, last
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each suffix among those cut at depth bytes: equal ranks, equal strings. By prefix doubling, from 8 bytes on.
+def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(length, ranks) of falling lengths from depth to 8: the rank of each suffix among those cut at that length, equal
+    for equal strings. By prefix doubling.
 
     Bytes beyond the end count as zeros; the caller sees to it that no string of interest reaches there.
     """
@@ -79,24 +81,63 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     key = padded[:n].copy()
     for k in range(1, 8):
         key = key << np.uint64(8) | padded[k : k + n]
-    ranks, have = ranked(key), 8
-    while have < depth:
+    levels = [(8, ranked(key))]
+    while levels[-1][0] < depth:
+        have, ranks = levels[-1]
         step = min(have, depth - have)
         shifted = np.zeros(n, np.uint64)
         shifted[: max(0, n - step)] = ranks[step:]
-        ranks = ranked(ranks * np.uint64(n + 1) + shifted)
-        have += step
-    return ranks
+        levels.append((have + step, ranked(ranks.astype(np.uint64) * np.uint64(n + 1) + shifted)))
+    return levels[::-1]
 
 
 def ranked(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key, kind="stable")
-    steps = np.empty(len(key), np.uint64)
+    steps = np.zeros(len(key), np.uint32)
     sorted_ = key[order]
-    steps[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]])).astype(np.uint64) if len(key) else sorted_
+    steps[order] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]])).astype(np.uint32) if len(key) else 0
     return steps
 
 
+def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], at: np.ndarray) -> np.ndarray:
+    """For each of the suffixes at, in order, the length of its common prefix with the one before, up to the depth."""
+    out = np.zeros(len(at), np.int64)
+    todo = np.arange(1, len(at))
+    depth = levels[0][0]
+    for length, ranks in [*levels, (1, data), (1, data), (1, data), (1, data), (1, data), (1, data), (1, data)]:
+        a, b = at[todo - 1] + out[todo], at[todo] + out[todo]
+        inside = np.maximum(a, b) < len(data)
+        same = np.zeros(len(todo), bool)
+        same[inside] = ranks[a[inside]] == ranks[b[inside]]
+        out[todo[same]] += length
+        todo = todo[out[todo] < depth]
+    return np.minimum(out, depth)
+
+
+def nearest(at: np.ndarray, common: np.ndarray, least: int = 0) -> np.ndarray:
+    """For each suffix, the common prefix with the nearest one before it, in suffix order, that has a smaller position; 0 where none has.
+
+    at: positions in suffix order; common: common prefix with the one before. Each looks at the one before it; one that
+    is larger passes on what it looks at itself, since all between are larger still. Below least the value is not exact.
+    """
+    to, low = np.arange(len(at)) - 1, common.copy()
+    open_ = np.flatnonzero((to >= 0) & (at[to] > at) & (low >= max(least, 1)))
+    while len(open_):
+        via = to[open_]
+        low[open_], to[open_] = np.minimum(low[open_], low[via]), to[via]
+        on = (to[open_] >= 0) & (low[open_] >= max(least, 1))
+        open_ = open_[on]
+        open_ = open_[at[to[open_]] > at[open_]]
+    low[to < 0] = 0
+    return low
+
+
+def previous_factors(at: np.ndarray, common: np.ndarray, least: int = 0) -> np.ndarray:
+    """For each suffix in suffix order its longest previous factor: the most it has in common with any of a smaller position."""
+    after = np.append(common[1:], 0)[::-1]
+    return np.maximum(nearest(at, common, least), nearest(at[::-1], after, least)[::-1])
+
+
 def repeats(cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the cuts in order of their places: starts (in the joined cuts) of strings of LENGTH bytes, whether one equal
     to it starts earlier, and whether one starts later."""
@@ -105,11 +146,14 @@ def repeats(cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = ends - [len(c) for c in cuts]
     counts = np.maximum(0, ends - starts - LENGTH + 1)
     whole = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    block = suffix_ranks(data, LENGTH)[whole].astype(np.int64)
-    smallest, largest = np.full(len(data), len(data)), np.full(len(data), -1)
-    np.minimum.at(smallest, block, whole)
-    np.maximum.at(largest, block, whole)
-    return whole, whole > smallest[block], whole < largest[block]
+    levels = suffix_ranks(data, LENGTH)
+    order = np.argsort(levels[0][1][whole], kind="stable")
+    at = whole[order]
+    common = common_prefixes(data, levels, at)
+    earlier, later = np.zeros(len(whole), bool), np.zeros(len(whole), bool)
+    earlier[order] = previous_factors(at, common, LENGTH) >= LENGTH
+    later[order] = previous_factors(-at, common, LENGTH) >= LENGTH
+    return whole, earlier, later
 
 
 def runs(flags: np.ndarray) -> list[list[int]]:
@@ -248,8 +292,11 @@ def passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), *digests(docs, text_col))
     copies = base.groupBy("th", "tc").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
     rows = anchor_rows(base.select("th", "tc", "_text"))
-    text_hash = "xxhash64(th, tc)"
-    shared = rows.select("*", F.expr(f"size(los) > 1 or min({text_hash}) over (partition by gram) != max({text_hash}) over (partition by gram)").alias("_shared")).where("_shared")
+    # Grams of several texts, or at several places of one. Anchors are found again for the join, so that they need no table.
+    text = F.xxhash64("th", "tc")
+    grams = rows.groupBy("gram").agg(F.min(text).alias("lo"), F.max(text).alias("hi"), F.max(F.size("los")).alias("places"), F.count(F.lit(1)).alias("n"))
+    grams = durable(grams.where("lo != hi or places > 1").select("gram", "n"), "grams")
+    shared = split_join(rows, grams, "gram", "n", grams.agg(F.sum("n")).first()[0] or 0, "th")
     marks = durable(shared.groupBy("th", "tc").agg(F.collect_set(F.struct("gram", "los", "his")).alias("marks")), "marks")
     marked = base.join(marks.join(copies, ["th", "tc"]).withColumnRenamed("th", "_th").withColumnRenamed("tc", "_tc"), (F.col("th") == F.col("_th")) & (F.col("tc") == F.col("_tc")) & F.col("doc").eqNullSafe(F.col("first")))
     cuts = durable(cut_rows(marked.select("doc", "th", "tc", "_text", "marks")), "cuts")
@@ -257,7 +304,7 @@ def passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # Several starts in one text, or several texts, make a cut recur as a whole.
     different = durable(cuts.groupBy("gram", "ch").agg(F.first("cut").alias("cut"), F.min(place).alias("place"), F.max(place).alias("_last"), F.max(F.size("los")).alias("_most")), "different")
     sizes = different.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
-    sized = different.join(sizes, "gram")
+    sized = split_join(different, sizes, "gram", "_n", different.count(), "ch")
     solved = resolved(sized.where(F.col("_n") <= HEAVY).repartition("gram").sortWithinPartitions("gram"))
     if sizes.where(F.col("_n") > HEAVY).take(1):
         solved = solved.unionByName(spread(sized.where(F.col("_n") > HEAVY)))
