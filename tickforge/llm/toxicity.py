@@ -5,7 +5,8 @@ allowed: a triple that spans s characters weighs DECAY ** s, up to SPAN. So an i
 out stays close to its plain form. A document is a bag of segments (its words; pieces of very long ones; runs of
 single characters closed up). Segments of labelled documents train the machine: in a toxic document its worst
 segment counts as toxic, in a clean one none does, and the clean segments that score worst are put back in as
-negatives (multiple-instance training). A document's score is a logistic function of its highest segment score.
+negatives (multiple-instance training). A document's score is a logistic function of the scores of its worst words and
+of how many different words it has: in a long text one that resembles an insult says less.
 
 Against m landmarks the decision is a sum of m kernel values. Each is an inner product over triples, so their sum is
 one weight for each triple: scoring a segment costs its triples, not m kernels.
@@ -14,6 +15,7 @@ one weight for each triple: scoring a segment costs its triples, not m kernels.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter
@@ -33,8 +35,8 @@ LANDMARKS, DECAY, SPAN = 192, 0.7, 6
 #: Longer words are read in pieces of this length, each starting half a piece after the last.
 PIECE = 24
 CACHE = 150_000
-#: Segment score of a text without words.
-NOTHING = -1.5
+#: Worst words of a text that count, and the score of those that a shorter text lacks.
+WORST, NOTHING = 3, -1.5
 SYMBOLS = 64
 EDGES = ".,;:!?\"'()[]|»«"
 SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
@@ -106,7 +108,7 @@ def linear(words: list[str], weights: np.ndarray) -> np.ndarray:
 class Model(NamedTuple):
     weights: np.ndarray  # of triples
     bias: float
-    logistic: tuple[float, float]  # of the highest segment score, and the constant
+    logistic: tuple[float, ...]  # of the features of a text, and the constant
 
 
 def kernel_to(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -163,7 +165,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     y = np.array([1 if v else 0 for v in labels])
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(1 << 18, np.float32), -1.0, (0.0, float(np.log((share + 0.01) / (1.01 - share)))))
+        return Model(np.zeros(1 << 18, np.float32), -1.0, (*[0.0] * (WORST + 1), float(np.log((share + 0.01) / (1.01 - share)))))
     bags = [bag(t) for t in texts]
     toxic = Counter(s for b, v in zip(bags, y, strict=True) if v for s in b)
     clean = Counter(s for b, v in zip(bags, y, strict=True) if not v for s in b)
@@ -205,14 +207,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
                 again.update({s for s in b if by[s] > 0.5 and odds[s] > 0 and toxic[s] > 2} | ({best} if odds[best] > 0 else set()))
         witnesses = again | frequent or witnesses
         positives = [s for s, _ in witnesses.most_common(3000)]
-    known = dict(zip(pool, scores.tolist(), strict=True)) | by
-    tops = np.array([[top([known[s] for s in b])] for b in bags])
-    return Model(weights, bias, logit(tops, y))
-
-
-def top(scores: list[float]) -> float:
-    """The highest score, NOTHING where there is none."""
-    return max(scores, default=NOTHING)
+    found = np.array(list(Scorer(Model(weights, bias, ())).features(texts)))
+    return Model(weights, bias, logit(found, y))
 
 
 def logit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
@@ -246,16 +242,15 @@ class Scorer:
             if v > self.known.get(t, -np.inf):
                 self.known[t] = v
 
-    def __call__(self, texts: list[str]) -> list[float]:
-        slope, const = self.model.logistic
-        out = []
+    def features(self, texts: list[str]) -> Iterator[list[float]]:
+        """For each text, the scores of its worst different words, falling, and the logarithm of their number."""
         for k in range(0, len(texts), 64):
             split = []
             for t in texts[k : k + 64]:
                 t = t.lower()
-                tokens = t.split()
+                tokens = set(t.split())
                 if " " in t:
-                    tokens += ["".join(m[0].split()) for m in SINGLES.finditer(t)]
+                    tokens.update("".join(m[0].split()) for m in SINGLES.finditer(t))
                 split.append(tokens)
             everything = set().union(*split)
             if new := everything.difference(self.known):
@@ -265,8 +260,15 @@ class Scorer:
                     self.learn(everything.difference(self.known))
             known = self.known
             for tokens in split:
-                x = slope * top([known[t] for t in tokens]) + const
-                out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, x)))))
+                worst = heapq.nlargest(WORST, map(known.__getitem__, tokens))
+                yield [*worst, *[NOTHING] * (WORST - len(worst)), math.log1p(len(tokens))]
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        *slopes, const = self.model.logistic
+        out = []
+        for found in self.features(texts):
+            x = sum(a * b for a, b in zip(slopes, found, strict=True)) + const
+            out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, x)))))
         return out
 
 
@@ -289,17 +291,23 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on at most TRAIN labelled documents of either class, none of them held out.
 
-    The chosen ids are few and broadcast; texts are not shuffled. Labels that are null count for nothing.
+    The chosen ids are few and broadcast; texts are not shuffled. Labels that are null count for nothing; of labels, and
+    of documents, with the same id one counts (the larger label, the first text in order), so the driver gets 2 * TRAIN
+    rows at most. Columns of any other names may stand beside. Without usable labels every score is the same.
     """
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("_id"), (F.col("toxic") != 0).cast("int").alias("_toxic"))
-    drawn = [usable.where(F.col("_toxic") == v).orderBy(F.xxhash64(F.lit(3), "_id"), "_id").limit(TRAIN) for v in (0, 1)]
-    rows = docs.join(F.broadcast(drawn[0].unionByName(drawn[1])), F.col("doc_id") == F.col("_id")).select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "_toxic", "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text, r._toxic))
-    return train([r.text for r in rows], [r._toxic for r in rows])
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("label"))
+    drawn = [usable.where(F.col("label") == v).orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(TRAIN) for v in (0, 1)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.id)
+    return train([r.text for r in rows], [r.label for r in rows])
 
 
 def score(docs: DataFrame, model: Model, **columns: str) -> DataFrame:
-    """doc_id and score (0 to 1) of every text. A null text is as an empty one, which has the score of no segments."""
+    """doc_id and score (0 to 1) of every text, row by row: repeated rows get equal scores, other columns don't matter.
+
+    A null text is as an empty one, which has the score of no words. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # 1 MB, whatever the input
     key = hashlib.sha256(model.weights.tobytes() + repr(model[1:]).encode()).hexdigest()
 
@@ -311,18 +319,22 @@ def score(docs: DataFrame, model: Model, **columns: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose score reaches the threshold; all columns and other rows stay as they are."""
+    """docs without the rows whose score reaches the threshold; all columns and other rows stay as they are.
+
+    Columns may have any names. A null text has the score of an empty one and stays null; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     key = hashlib.sha256(model.weights.tobytes() + repr(model[1:]).encode()).hexdigest()
-    at = docs.columns.index(text_col)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("read"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = scorer(key, lambda: Model(*shared.value))
-        for batch in small(batches):
-            scores = use([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+        for batch in small(batches, 256):
+            scores = use([t or "" for t in batch.column(1).to_pylist()])
+            yield batch.select([0]).filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = rows.mapInArrow(run, rows.select("row").schema)
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op8_toxicity_kernel_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
