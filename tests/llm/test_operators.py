@@ -83,6 +83,32 @@ def test_search(spark, docs):
         assert {x[1] for x in mine if x[2] > expected[-1][2] + 1e-5} == {x[1] for x in expected if x[2] > expected[-1][2] + 1e-5}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_block_max_wand(seed):
+    """One shard with wide lists, many blocks and ties, with and without a threshold, against scoring everything."""
+    rng = np.random.default_rng(seed)
+    n, words = 700, [f"w{k}" for k in range(400)]
+    tf = (rng.random((n, 400)) < 0.6 / (1 + np.arange(400) / 8)) * rng.integers(1, 5, (n, 400))
+    tf[rng.integers(0, n, 60)] = tf[3]  # ties
+    lengths = tf.sum(axis=1)
+    shard = search.Shard(np.arange(n, dtype=np.int64)[::-1].tobytes(), lengths.astype(np.int32).tobytes(), float(lengths.mean()))
+    for k in range(0, 400, 150):
+        part = tf[:, k : k + 150].T
+        shard.add(words[k : k + 150], (part > 0).sum(axis=1).tolist(), np.nonzero(part)[1].astype(np.uint16).tobytes(), part[part > 0].astype(np.int32).tobytes())
+    shard.close()
+    impact = tf * 2.2 / (tf + (1.2 * (0.25 + 0.75 * lengths / lengths.mean()))[:, None])
+    for _ in range(60):
+        chosen = rng.choice(400, rng.integers(1, 90), replace=False)
+        weights = rng.random(len(chosen)) * 3
+        score = np.floor((impact[:, chosen] * weights).sum(axis=1) * 1e6 + 0.5) / 1e6
+        every = sorted((-s, n - 1 - d) for d, s in enumerate(score) if s > 0)
+        for floor in (-1.0, -every[min(len(every), 10) - 1][0], -every[0][0]):
+            got = shard.top([words[c] for c in chosen], weights.tolist(), 10, floor)
+            want = [x for x in every[:10] if -x[0] >= floor - 1e-9]
+            assert [x[1] for x in got[: len(want)]] == [x[1] for x in want]
+            assert np.allclose([x[0] for x in got[: len(want)]], [x[0] for x in want], atol=2e-6)
+
+
 def test_search_edges(spark, awkward):
     empty = awkward.limit(0)
     asked = spark.createDataFrame([(1, "hello"), (2, None), (1, "hello")], "query_id long, text string")
@@ -255,11 +281,57 @@ def test_components(spark):
     assert got == {x: find(x) for u, v in edges if u != v for x in (u, v)}
 
 
-def test_large_buckets(docs, monkeypatch):
-    """The splitting of large buckets loses nothing: with tiny limits the result is the same."""
-    expected = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, n=2).collect()}
-    monkeypatch.setattr(minhash, "SMALL", 2)
-    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, n=2).collect()} == expected
+@pytest.mark.parametrize("n", [2, 5])
+def test_near_duplicates_around_one_text(spark, n):
+    """Copies that each differ from one text in their own way, at the threshold and beyond, and texts that share a passage."""
+    rng = random.Random(n)
+    words = [f"w{k}" for k in range(900)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = []
+    for _ in range(90):
+        t = list(base)
+        for _ in range(rng.randint(1, 12)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(" ".join(t))
+    texts += [" ".join(base[:100] + [rng.choice(words) for _ in range(rng.randint(5, 40))]) for _ in range(40)]
+    sets = [shingle_set(t, n) for t in texts]
+    group = list(range(len(sets)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                group[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = minhash.near_duplicates(docs, n=n).collect()
+    assert len({find(k) for k in range(len(sets))}) > 5
+    assert {r.doc_id: r.component_id for r in rows} == {k: find(k) for k in range(len(sets))}
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_prefix_and_position_lose_no_pair(spark, n):
+    """Every link is among the pairs that the order of shingles lets through, and they are far fewer than all."""
+    rng = random.Random(n)
+    base = [[f"{g}w{rng.randrange(300)}" for _ in range(60)] for g in range(3)]
+    texts = []
+    for _ in range(120):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(400)}"
+        texts.append(" ".join(t[: rng.randint(48, 60)]))
+    sets = [shingle_set(t, n) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, classes, _ = minhash.classes_and_links(docs, n, 80)
+    nodes = rows.join(classes.select(F.col("node").alias("_rid")), "_rid", "left_semi").withColumnRenamed("_rid", "node")
+    at = {r.node: r.doc_id for r in nodes.select("node", "doc_id").collect()}
+    got = {tuple(sorted((at[r.u], at[r.v]))) for r in minhash.sharing_rare(nodes.select("node", F.col("node").alias("component")), nodes, docs, n, 80).collect()}
+    ids = sorted(at.values())
+    links = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert links and links <= got and len(got) < len(ids) * (len(ids) - 1) / 2
 
 
 def test_near_duplicate_edges(awkward):
@@ -320,6 +392,27 @@ def test_lpf_blocks():
     assert [s in strings[k + 1 :] for k, s in enumerate(strings)] == later.tolist()
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_previous_factors(seed):
+    """Suffix order, common prefixes, previous and next smaller positions, and longest previous factors, by definition."""
+    rng = random.Random(seed)
+    text = bytes(rng.choice(b"ab" if seed % 2 else b"abcd") for _ in range(rng.randint(1, 160))) * rng.choice([1, 2, 3])
+    depth = rng.choice([8, 20, 64])
+    data = np.frombuffer(text + bytes(64), np.uint8)  # no string of interest reaches the end
+    levels = suffixes.suffix_ranks(data, depth)
+    at = np.argsort(levels[0][1][: len(text)], kind="stable")
+    cut = [bytes(data[k : k + depth]) for k in range(len(text))]
+    assert [cut[k] for k in at] == sorted(cut)
+    shared = lambda a, b: next((k for k in range(depth) if a[k] != b[k]), depth)
+    common = suffixes.common_prefixes(data, levels, at)
+    assert common.tolist() == [0] + [shared(cut[a], cut[b]) for a, b in zip(at, at[1:], strict=False)]
+    if seed % 3 == 0:  # ties may stand in any order
+        at = np.concatenate([rng.sample(g.tolist(), len(g)) for g in np.split(at, np.flatnonzero(common < depth)[1:])])
+    factors = suffixes.previous_factors(at, common)
+    assert factors.tolist() == [max((shared(cut[p], cut[q]) for q in range(p)), default=0) for p in at]
+    assert (suffixes.previous_factors(at, common, depth) >= depth).tolist() == (factors >= depth).tolist()
+
+
 def test_repeat_edges(awkward):
     assert suffixes.repeated_bytes(awkward.limit(0)).count() == 0
     assert [r.n_removed for r in suffixes.repeated_bytes(awkward).collect()] == [0] * 6
