@@ -23,13 +23,26 @@ def robust_stats(rows: DataFrame) -> DataFrame:
     return medians.join(scales, "symbol")
 
 
-def robust_z(rows: DataFrame, stats: DataFrame, threshold: float | Column = THRESHOLD) -> DataFrame:
+def with_robust_stats(rows: DataFrame, where: str = "true") -> DataFrame:
+    """rows with the medians and scales of robust_stats(rows.where(where)) beside each row.
+
+    Two windows by symbol, which share the exchange of the windows that the features came from: nothing is computed
+    twice and nothing joined.
+    """
+    of = lambda e: f"percentile(case when {where} then {e} end, 0.5D) over (partition by symbol)"
+    placed = rows.withColumns({f"{f}_median": F.expr(of(f)) for f in FEATURES})
+    return placed.withColumns({f"{f}_scale": F.expr(f"{of(f'abs({f} - {f}_median)')} * {MAD_SCALE}D") for f in FEATURES})
+
+
+def robust_z(rows: DataFrame, stats: DataFrame | None = None, threshold: float | Column = THRESHOLD, where: str = "true") -> DataFrame:
     """rows with score (the largest absolute z), worst_feature (the first that has it) and is_anomaly (score > threshold).
 
-    stats has a row for each symbol; the optimizer broadcasts it where it is small enough.
+    stats has a row for each symbol; the optimizer broadcasts it where it is small enough. Without stats, those of the
+    rows themselves, as far as where holds, count; symbols without such rows go, as they would in the join.
     """
     zs = [F.expr(f"case when {f}_scale > 0 then abs({f} - {f}_median) / {f}_scale else 0D end") for f in FEATURES]
-    joined = rows.join(stats, "symbol").withColumn("_zs", F.array(*zs)).withColumn("score", F.array_max("_zs"))
+    beside = with_robust_stats(rows, where).where(f"{FEATURES[0]}_median is not null") if stats is None else rows.join(stats, "symbol")
+    joined = beside.withColumn("_zs", F.array(*zs)).withColumn("score", F.array_max("_zs"))
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
     names = F.array(*(F.lit(f) for f in FEATURES))
     kept = [c for c in rows.columns]
@@ -47,7 +60,7 @@ def calibrated_threshold(scores: DataFrame, rate: float = TARGET_RATE) -> DataFr
 
 def calibrated(split: DataFrame, rate: float = TARGET_RATE) -> DataFrame:
     """Scores by the statistics of the fit and calibrate folds; is_anomaly by a threshold from the calibrate fold."""
-    scored = robust_z(split, robust_stats(split.where("fold <> 'test'")))
+    scored = robust_z(split, where="fold <> 'test'")
     limit = calibrated_threshold(scored.where("fold = 'calibrate'"), rate)
     return scored.drop("is_anomaly").join(F.broadcast(limit)).withColumn("is_anomaly", (F.col("score") > F.col("threshold")).cast("int"))  # one row
 
@@ -63,12 +76,16 @@ def confusion(rows: DataFrame, predicted: str = "is_anomaly", truth: str = "labe
 def auc(rows: DataFrame, score: str = "score", truth: str = "label") -> DataFrame:
     """One row: the chance that a positive outscores a negative, ties counting half; NaN without both classes.
 
-    Rows are summed by score first, so one task sees each different score once and ranks need no sort of all rows.
+    Rows are summed by score, and the different scores dealt out by range. Each range counts within itself; what lies
+    below it comes from the sums of the ranges, of which there are as many as partitions.
     """
     by = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
-    below = by.select("pos", "neg", F.expr("sum(neg) over (order by s rows between unbounded preceding and 1 preceding)").alias("under"))
-    sums = below.agg(F.sum(F.expr("pos * (coalesce(under, 0) + neg / 2D)")).alias("wins"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return sums.select(F.expr("case when n_pos > 0 and n_neg > 0 then wins / (cast(n_pos as double) * n_neg) else double('NaN') end").alias("auc"))
+    ranges = by.repartitionByRange("s").withColumn("part", F.spark_partition_id())
+    inside = ranges.withColumn("under", F.expr("coalesce(sum(neg) over (partition by part order by s rows between unbounded preceding and 1 preceding), 0)"))
+    sums = inside.groupBy("part").agg(F.sum(F.expr("pos * (under + neg / 2D)")).alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    below = sums.withColumn("under", F.expr("coalesce(sum(neg) over (order by part rows between unbounded preceding and 1 preceding), 0)"))
+    total = below.agg(F.sum(F.expr("wins + pos * cast(under as double)")).alias("wins"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return total.select(F.expr("case when n_pos > 0 and n_neg > 0 then wins / (cast(n_pos as double) * n_neg) else double('NaN') end").alias("auc"))
 
 
 def standardization(rows: DataFrame) -> DataFrame:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SESSION_GAP_NS, WINDOW, MAD_SCALE = 300 * 1_000_000_000, 60, 1.4826
 BY_TIME = "partition by symbol order by start_ns, arrival_ix"
-MEDIAN = "(array_sort({0})[(size({0}) - 1) div 2] + array_sort({0})[size({0}) div 2]) / 2"
 
 
 def features(bars: DataFrame, window: int = WINDOW) -> DataFrame:
     """symbol, start_ns, arrival_ix, close and the seven features of each bar.
 
-    Returns across gaps of more than five minutes count as 0; the rolling windows cross them.
+    Returns across gaps of more than five minutes count as 0; the rolling windows cross them. The rolling median and
+    deviation are taken with NumPy from the rows as the windows leave them, sorted; a task holds one frame's rows more
+    than a batch.
     """
     trailing = f"over ({BY_TIME} rows between {window - 1} preceding and current row)"
     first = bars.withColumns({"_prev": F.expr(f"lag(close) over ({BY_TIME})"), "_since": F.expr(f"start_ns - lag(start_ns) over ({BY_TIME})")})
@@ -25,11 +30,41 @@ def features(bars: DataFrame, window: int = WINDOW) -> DataFrame:
         F.expr("log1p(cast(greatest(volume, 0) as double))").alias("log_volume"),
         F.col("trade_count").cast("double").alias("trade_count"),
     )
-    rolled = base.withColumns({"realized_vol": F.expr(f"stddev_pop(log_return) {trailing}"), "_frame": F.expr(f"array_sort(collect_list(log_volume) {trailing})")})
-    median = rolled.withColumn("_median", F.expr("(_frame[(size(_frame) - 1) div 2] + _frame[size(_frame) div 2]) / 2"))
-    spread = median.withColumn("_dev", F.expr("array_sort(transform(_frame, v -> abs(v - _median)))"))
-    z = F.expr(f"(_dev[(size(_dev) - 1) div 2] + _dev[size(_dev) div 2]) / 2 * {MAD_SCALE}D")
-    return spread.withColumn("_scale", z).withColumn("volume_z", F.expr("case when _scale > 0 then (log_volume - _median) / _scale else 0D end")).drop("_frame", "_median", "_dev", "_scale")
+    rolled = base.withColumn("realized_vol", F.expr(f"stddev_pop(log_return) {trailing}")).sortWithinPartitions("symbol", "start_ns", "arrival_ix")
+    at = [rolled.columns.index(c) for c in ("symbol", "log_volume")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before = None, np.zeros(0)  # the last rows of the symbol that the batch before ended with
+        for batch in batches:
+            symbols, values = batch.column(at[0]).dictionary_encode(), batch.column(at[1]).to_numpy(zero_copy_only=False)
+            codes = symbols.indices.to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            out = np.zeros(len(values))
+            for a, b in zip(edges, edges[1:], strict=False):
+                symbol = symbols.dictionary[codes[a]].as_py() if b > a else None
+                if symbol != now:
+                    now, before = symbol, np.zeros(0)
+                both = np.concatenate([before, values[a:b]])
+                out[a:b] = robust_deviation(both, window)[len(before) :]
+                before = both[max(0, len(both) - window + 1) :] if window > 1 else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "volume_z"])
+
+    return rolled.mapInArrow(run, rolled.withColumn("volume_z", F.lit(0.0)).schema)
+
+
+def robust_deviation(values: np.ndarray, window: int) -> np.ndarray:
+    """(value - median) / (1.4826 times the median absolute deviation) over the last window values up to each; 0 without spread."""
+    out = np.zeros(len(values))
+    padded = np.concatenate([np.full(window - 1, np.nan), values])
+    for k in range(0, len(values), 4096):
+        frame = np.lib.stride_tricks.sliding_window_view(padded[k : k + 4096 + window - 1], window)
+        counts = np.minimum(np.arange(k, k + len(frame)) + 1, window)
+        rows = np.arange(len(frame))
+        middle = lambda x: (x[rows, (counts - 1) // 2] + x[rows, counts // 2]) / 2  # noqa: B023, E731
+        median = middle(np.sort(frame, axis=1))  # values that are missing come last
+        scale = middle(np.sort(np.abs(frame - median[:, None]), axis=1)) * MAD_SCALE
+        np.divide(values[k : k + len(frame)] - median, scale, out=out[k : k + len(frame)], where=scale > 0)
+    return out
 
 
 def sessions(bars: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.folds import annotate, fold
+from ..functions.folds import annotate
 from ..functions.scalars import approx_equal, bit, less
 
 BY_SYMBOL = "partition by symbol order by arrival_ix"
@@ -139,19 +140,53 @@ class PriceBand:
 BAND_COLUMNS = ["arrival_ix", "kind", "price", "size", "bid_price", "ask_price"]
 
 
-def price_band(tape: DataFrame) -> DataFrame:
-    """symbol, arrival_ix, band_flag and reference (after the record) of every record."""
-    return fold(tape, "symbol", "arrival_ix", BAND_COLUMNS, PriceBand, "symbol string, arrival_ix long, band_flag int, reference double")
+def band_steps(state: list, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The rules of PriceBand over arrays of kind, price, size, bid_price and ask_price: band_flag and reference (NaN before the first).
+
+    What is not a valid trade or quote is sorted out at once; only the rest is walked. state: reference and run.
+    """
+    kind, price, size, bid, ask = columns
+    trade = (kind == "trade") & (price > 0) & (size != 0) & (size == size)
+    quote = (kind == "quote") & (bid > 0) & (ask > 0)
+    value = np.where(trade, price, (bid + ask) * 0.5)
+    walked = np.flatnonzero(trade | quote)
+    breaches, references = [], []
+    reference, run = state
+    for is_trade, x in zip(trade[walked].tolist(), value[walked].tolist(), strict=True):
+        breach = reference is not None and abs(x - reference) > S.BAND_FRACTION * reference
+        if is_trade:
+            if reference is None:
+                reference = x
+            elif breach:
+                run += 1
+                if run >= S.BAND_RUN:
+                    reference, run = x, 0
+            else:
+                reference, run = S.BAND_ALPHA * x + (1 - S.BAND_ALPHA) * reference, 0
+        breaches.append(breach)
+        references.append(reference)
+    flags = np.zeros(len(kind), np.int32)
+    flags[walked] = np.where(np.array(breaches, bool), S.PRICE_BAND_BREACH, 0)
+    known = np.array([np.nan if state[0] is None else state[0], *(np.nan if r is None else r for r in references)])
+    carried = known[np.cumsum(np.bincount(walked, minlength=len(kind)))]
+    state[:] = [reference, run]
+    return [flags, carried]
 
 
 def with_band(tape: DataFrame) -> DataFrame:
-    """tape with band_flag."""
-    return annotate(tape, "symbol", "arrival_ix", BAND_COLUMNS, PriceBand, "_at long, band_flag int, _reference double").drop("_at", "_reference")
+    """tape, dealt out by symbol, with band_flag and reference (after the record; NaN before the first valid trade)."""
+    return annotate(tape, "symbol", "arrival_ix", BAND_COLUMNS[1:], lambda: [None, 0], band_steps, "band_flag int, reference double")
+
+
+def price_band(tape: DataFrame) -> DataFrame:
+    """symbol, arrival_ix, band_flag and reference (after the record, null before the first valid trade) of every record."""
+    narrow = tape.select("symbol", *BAND_COLUMNS).repartition("symbol")
+    return with_band(narrow).select("symbol", "arrival_ix", "band_flag", F.expr("nullif(reference, double('NaN'))").alias("reference"))
 
 
 def validate(tape: DataFrame) -> DataFrame:
-    """tape with flags (all 19 bits) and gap. The tape is shuffled twice, for the fold and for the windows; nothing is joined."""
-    checked = with_reconciliation(with_sequencing(with_stateless(with_band(tape))))
+    """tape with flags (all 19 bits) and gap. The tape is shuffled once, by symbol: windows and fold share that exchange."""
+    checked = with_band(with_reconciliation(with_sequencing(with_stateless(tape.repartition("symbol"))))).drop("reference")
     flags = F.col("stateless_flags") + F.col("sequencing_flags") + F.col("reconcile_flags") + F.col("band_flag")
     return checked.withColumn("flags", flags.cast("int")).drop("stateless_flags", "sequencing_flags", "reconcile_flags", "band_flag")
 

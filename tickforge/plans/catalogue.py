@@ -28,9 +28,13 @@ def split_features(spark: SparkSession, d: str) -> DataFrame:
     return features.time_split(bar_features(spark, d))
 
 
+def leaking(split: DataFrame) -> DataFrame:
+    """split with the fit rows of some symbols moved by a year, so that they reach into later folds."""
+    return split.withColumn("start_ns", F.expr("case when fold = 'fit' and symbol like '%7' then start_ns + 31536000000000000 else start_ns end"))
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = bar_features(spark, d)
-    return anomaly.robust_z(rows, anomaly.robust_stats(rows))
+    return anomaly.robust_z(bar_features(spark, d))
 
 
 def tested(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +162,7 @@ QUERIES = {
     "top_anomalies": lambda s, d: rounded(anomaly.top(scored(s, d)).select("symbol", ns_to_text(F.col("start_ns")).alias("at"), "score"), "score"),
     "top_flagged": lambda s, d: rounded(anomaly.top(anomaly.top(scored(s, d), 12).where("is_anomaly = 1"), 5).select("symbol", "start_ns", "score"), "score"),
     "time_split": lambda s, d: split_features(s, d).groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n"), F.min("start_ns").alias("first_ns"), F.max("start_ns").alias("last_ns")),
-    "leakage": lambda s, d: features.leakage(split_features(s, d)),
+    "leakage": lambda s, d: features.leakage(leaking(split_features(s, d))),
     "calibrated_threshold": lambda s, d: rounded(anomaly.calibrated(split_features(s, d)).select("threshold").limit(1), "threshold"),
     "calibrated_flags": lambda s, d: anomaly.calibrated(split_features(s, d)).groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("is_anomaly").alias("flagged")),
     "confusion": lambda s, d: rounded(anomaly.confusion(tested(s, d)), "precision", "recall", "flag_rate", "f1"),

@@ -66,12 +66,13 @@ def market_rows(parsed: DataFrame) -> DataFrame:
 
 
 def to_tape(rows: DataFrame) -> DataFrame:
-    """The tape of market rows: within a frame trades, then quotes, then bars; numbered by symbol. Rows without a symbol go.
+    """The tape of market rows: within a frame trades, then quotes, then bars; numbered by symbol. Rows without a symbol
+    or a readable timestamp go, before numbers are given.
 
     arrival_ix is built from frame, kind and place, so no window spans all symbols.
     """
     rank = "case kind when 'trade' then 0 when 'quote' then 1 else 2 end"
-    kept = rows.where("symbol <> ''").withColumn("arrival_ix", F.expr(f"cast(frame_ix as long) * 4194304 + {rank} * 1048576 + pos"))
+    kept = rows.where("symbol <> '' and ts_ns is not null").withColumn("arrival_ix", F.expr(f"cast(frame_ix as long) * 4194304 + {rank} * 1048576 + pos"))
     numbered = kept.withColumn("seq", F.expr("cast(row_number() over (partition by symbol order by arrival_ix) as long)"))
     return numbered.select(*(F.col(c).cast(k).alias(c) for c, k in TAPE_COLUMNS.items()))
 
