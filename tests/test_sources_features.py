@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickforge.functions.scalars import backoff_ceiling, parse_rfc3339_ns
-from tickforge.operators import anomaly, backtest, features, generators, reports, validate
+from tickforge.operators import anomaly, backtest, features, feed, generators, reports, validate
 from tickforge.schema import FEATURES, TAPE, TAPE_COLUMNS
-from tickforge.sources import frames, replay
+from tickforge.sources import frames, packets, replay
 
+# Frames as the wire protocol's documentation shows them, which pin field names, types and times.
 FRAMES = [
     '[{"T":"success","msg":"connected"}]',
     '[{"T":"subscription","trades":["AAPL"]}]',
@@ -35,7 +36,8 @@ def test_frames(spark):
 
 
 def test_frame_order(spark):
-    frame = '[{"T":"b","S":"A","t":""},{"T":"q","S":"A","t":""},{"T":"t","S":"A","t":""},{"T":"t","S":"","t":""}]'
+    at = '"t":"2031-02-03T04:05:06Z"'
+    frame = f'[{{"T":"b","S":"A",{at}}},{{"T":"q","S":"A",{at}}},{{"T":"t","S":"A","t":"oops"}},{{"T":"t","S":"A",{at}}},{{"T":"t","S":"",{at}}}]'
     tape = frames.to_tape(frames.market_rows(frames.messages(spark.createDataFrame([(0, frame)], "frame_ix int, frame string"))))
     assert [(r.kind, r.seq) for r in tape.orderBy("seq").collect()] == [("trade", 1), ("quote", 2), ("bar", 3)]
 
@@ -156,3 +158,37 @@ def test_synthetic_tape(spark):
         assert 0 < counts[name] < 30
     assert counts.lost_messages == 3 * counts.seq_gaps
     assert set(FEATURES) <= set(features.features(validate.bars_from_trades(tape).withColumns({"start_ns": F.col("bar_window") * MINUTE, "arrival_ix": F.col("bar_window")})).columns)
+
+
+def test_packets(spark):
+    """Datagrams of the right length come back with number, line and record; others go."""
+    trade = bytearray(88)
+    struct.pack_into("<B7x8sQQQdQ", trade, 0, 0, b"OAK", 1000, 7, 42, 12.5, 9)
+    unknown = bytes([9]) + bytes(87)
+    rows = [(1, 300, "A", bytes(trade)), (2, 1 << 40, "B", bytes(trade)), (3, 5, "A", unknown), (4, 6, "A", bytes(80))]
+    sent = packets.encode(spark.createDataFrame(rows, "arrival_ix long, seq long, line string, body binary"))
+    odd = spark.createDataFrame([(5, bytes(104)[:103]), (6, None), (7, bytes(8) + b"\x05" + bytes(95))], "arrival_ix long, packet binary")
+    got = packets.decode(sent.unionByName(odd)).orderBy("arrival_ix").collect()
+    assert [(r.arrival_ix, r.seq, r.line) for r in got] == [(1, 300, "A"), (2, 1 << 40, "B")]
+    assert [(r.record.kind, r.record.symbol, r.record.ts_ns, r.record.seq, r.record.price, r.record["size"]) for r in got] == [("trade", "OAK", 1000, 7, 12.5, 9)] * 2
+    assert packets.decode(sent.limit(0)).count() == 0
+
+
+def test_feed_blocks(spark, monkeypatch):
+    """Gaps across blocks of numbers, empty blocks among them, are those of one window."""
+    rows = [("X", s, line, s * 2 + k, s) for s in (1, 2, 5, 9, 10, 31, 32, 70) for k, line in enumerate("AB") if (s + k) % 5]
+    frame = spark.createDataFrame(rows, "feed string, seq long, line string, arrival_ix long, payload long")
+    expected = sorted(map(tuple, feed.delivered(frame).collect()))
+    monkeypatch.setattr(feed, "BLOCK", 4)
+    assert sorted(map(tuple, feed.delivered(frame).collect())) == expected
+    assert sum(r[4] for r in expected) == 70 - len(expected)
+
+
+def test_robust_deviation():
+    rng = np.random.default_rng(3)
+    values = np.round(rng.normal(size=300), 1)
+    got = features.robust_deviation(values, 60)
+    for k in range(300):
+        frame = values[max(0, k - 59) : k + 1]
+        scale = 1.4826 * np.median(np.abs(frame - np.median(frame)))
+        assert got[k] == pytest.approx((values[k] - np.median(frame)) / scale if scale > 0 else 0.0)

@@ -14,12 +14,22 @@ from pyspark.sql import functions as F
 from ..functions.folds import fold
 
 MAX_GAP = 1 << 20
+#: Sequence numbers that one window partition spans.
+BLOCK = 1 << 16
 
 
 def delivered(packets: DataFrame) -> DataFrame:
-    """feed, seq, line, payload of the first arrival of every sequence number, with gap: numbers missing before the next."""
-    first = packets.withColumn("_n", F.expr("row_number() over (partition by feed, seq order by arrival_ix)")).where("_n = 1")
-    return first.select("feed", "seq", "line", "payload", F.expr("coalesce(lead(seq) over (partition by feed order by seq) - seq - 1, 0)").cast("long").alias("gap"))
+    """feed, seq, line, payload of the first arrival of every sequence number, with gap: numbers missing before the next.
+
+    A feed is cut into blocks of BLOCK numbers, so that its windows are spread over tasks. The next number after a
+    block's last is the first of the next block, from a table of one row for each block.
+    """
+    cut = packets.withColumn("_block", F.expr(f"seq div {BLOCK}"))
+    first = cut.withColumn("_n", F.expr("row_number() over (partition by feed, _block, seq order by arrival_ix)")).where("_n = 1")
+    inside = first.withColumn("_next", F.expr("lead(seq) over (partition by feed, _block order by seq)"))
+    starts = cut.groupBy("feed", "_block").agg(F.min("seq").alias("_first"))
+    after = starts.select("feed", "_block", F.expr("lead(_first) over (partition by feed order by _block)").alias("_after"))
+    return inside.join(after, ["feed", "_block"]).select("feed", "seq", "line", "payload", F.expr("coalesce(coalesce(_next, _after) - seq - 1, 0)").cast("long").alias("gap"))
 
 
 def arbitration_stats(packets: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..schema import TAPE_COLUMNS
 
-SYMBOLS = ["AAPL", "MSFT", "NVDA", "AMZN", "GOOGL", "META", "TSLA", "AMD"]
+SYMBOLS = ["ASH", "BIRCH", "CEDAR", "ELM", "FIR", "LARCH", "OAK", "PINE"]
 DEFECTS = ["corrupt_trade", "seq_gap", "ts_regress", "volume", "count", "vwap", "ohlc", "band", "crossed", "locked", "spike"]
-BASE_NS = 1_704_206_000_000_000_000
+BASE_NS = 1_600_000_000_000_000_000
 
 
 def draw(n: int, seed: int, salt: str, *keys: str) -> Column:
@@ -69,23 +69,26 @@ def synthetic_tape(spark: SparkSession, windows: int = 1000, symbols: int = 8, s
 
 
 def joint_anomaly_bars(spark: SparkSession, bars: int = 800, symbols: int = 1, seed: int = 7, clean: float = 0.6, anomalies: int = 40) -> DataFrame:
-    """Minute bars in which volume follows the size of the move, but for label = 1: small moves on usual volume.
+    """Bars of five minutes whose range, volume and trade count all rise with how busy the market is, but for label = 1.
 
-    Anomalies are spread over the part after the clean share, so a fit on the earlier bars never sees one.
+    There the range is that of the opposite level: each number is common by itself, only their combination is not. Such
+    bars lie after the clean share, evenly apart, so that a fit on the earlier bars never sees one.
     """
-    cut = int(bars * clean)
-    every = max(1, (bars - cut) // max(1, anomalies))
-    base = spark.range(bars * symbols).select((F.col("id") % symbols).alias("ix"), F.floor(F.col("id") / symbols).alias("k"))
-    k = base.select(symbol_name(F.col("ix")).alias("symbol"), "ix", "k", F.expr(f"cast(k >= {cut} and (k - {cut}) % {every} = {every} div 2 as int)").alias("label"))
-    move = F.abs(normal(seed, "move", "ix", "k"))
-    drawn = k.withColumns({"_vol": F.when(F.col("label") == 1, 0.8 + 0.2 * F.abs(normal(seed, "vol", "ix", "k"))).otherwise(move), "_move": F.when(F.col("label") == 1, 0.08 * F.abs(normal(seed, "small", "ix", "k"))).otherwise(move)})
-    ret = drawn.withColumn("_ret", F.when(draw(2, seed, "sign", "ix", "k") == 0, 1.0).otherwise(-1.0) * F.col("_move") * 0.002)
+    quiet = int(bars * clean)
+    apart = max(1, (bars - quiet) // max(1, anomalies))
+    each = spark.range(bars * symbols).selectExpr(f"id % {symbols} as ix", f"id div {symbols} as k").select("ix", "k", symbol_name(F.col("ix")).alias("symbol"), F.expr(f"cast(k >= {quiet} and (k - {quiet}) % {apart} = {apart - 1} as int)").alias("label"))
+    keys = ("ix", "k")
+    busy = each.withColumn("_busy", unit(seed, "busy", *keys))
+    seen = busy.withColumn("_span", F.when(F.col("label") == 1, 1.05 - F.col("_busy")).otherwise(F.col("_busy")) + 0.03 * normal(seed, "span", *keys))
+    width = 0.0004 + 0.004 * F.greatest("_span", F.lit(0.0))
+    moved = seen.withColumn("_width", width).withColumn("_move", (unit(seed, "side", *keys) - 0.5) * F.col("_width"))
     by = "over (partition by symbol order by k)"
-    priced = ret.withColumn("close", F.expr(f"100D * exp(sum(_ret) {by})")).withColumn("open", F.expr(f"lag(close, 1, 100D) {by}"))
-    width = F.greatest("_move", F.lit(0.2)) * 0.002 * F.col("open")
-    volume = F.greatest(F.floor(F.exp(8.0 + 1.1 * F.col("_vol") + 0.05 * normal(seed, "noise", "ix", "k")) + 0.5), F.lit(1)).cast("long")
-    return priced.withColumns({"high": F.greatest("open", "close") + 0.5 * width, "low": F.least("open", "close") - 0.5 * width, "vwap": 0.5 * (F.col("open") + F.col("close")), "volume": volume}).select(
-        "symbol", (F.lit(BASE_NS) + F.col("k") * 60_000_000_000).cast("long").alias("start_ns"), F.col("k").alias("arrival_ix"), "open", "high", "low", "close", "vwap", "volume", F.greatest(F.floor(F.col("volume") / 200), F.lit(1)).cast("long").alias("trade_count"), "label",
+    priced = moved.withColumn("close", F.expr(f"50D * exp(sum(_move) {by})")).withColumn("open", F.expr(f"lag(close, 1, 50D) {by}"))
+    spare = F.greatest(F.col("_width") * F.col("open") - F.abs(F.col("close") - F.col("open")), F.lit(0.0)) / 2
+    trades = F.round(20 + 180 * F.col("_busy") + 4 * normal(seed, "trades", *keys)).cast("long")
+    priced = priced.withColumns({"high": F.greatest("open", "close") + spare, "low": F.least("open", "close") - spare, "trade_count": F.greatest(trades, F.lit(1))})
+    return priced.withColumns({"vwap": (F.col("high") + F.col("low") + F.col("close")) / 3, "volume": F.col("trade_count") * (60 + draw(9, seed, "lot", *keys))}).select(
+        "symbol", (F.lit(BASE_NS) + F.col("k") * 300_000_000_000).cast("long").alias("start_ns"), F.col("k").alias("arrival_ix"), "open", "high", "low", "close", "vwap", F.col("volume").cast("long").alias("volume"), "trade_count", "label",
     )
 
 

@@ -6,7 +6,7 @@ cannot be read rejects its message, not the whole frame.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_char, parse_rfc3339_ns, wire_symbol
@@ -50,6 +50,22 @@ def messages(frames: DataFrame) -> DataFrame:
     return found.unionByName(rejected)
 
 
+def live(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """Frames that a collector lands in a folder, one to a line, as a stream (frame_ix, frame) that messages() reads.
+
+    frame_ix is the time at which the frame's file was landed, in milliseconds, times 2 ** 20, and a hash of the frame
+    below that: a frame keeps it when the stream is restarted, since the checkpoint remembers the files read.
+    """
+    lines = spark.readStream.options(**options).text(folder).select("value", F.unix_millis("_metadata.file_modification_time").alias("landed"))
+    return lines.select((F.col("landed") * (1 << 20) + F.pmod(F.xxhash64("value"), F.lit(1 << 20))).alias("frame_ix"), F.col("value").alias("frame"))
+
+
+def socket(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Frames that come over a TCP connection, one to a line, as live() gives them. What was sent before a restart is lost."""
+    lines = spark.readStream.format("socket").options(host=host, port=str(port), includeTimestamp="true").load()
+    return lines.select((F.unix_millis("timestamp") * (1 << 20) + F.pmod(F.xxhash64("value"), F.lit(1 << 20))).alias("frame_ix"), F.col("value").alias("frame"))
+
+
 def market_rows(parsed: DataFrame) -> DataFrame:
     """frame_ix, pos and the tape's columns of trades, quotes and bars, without arrival_ix and seq; ts_ns is null where malformed."""
     when = lambda kind, column: F.when(F.col("msg_class") == kind, column)
