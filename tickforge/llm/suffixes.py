@@ -99,12 +99,16 @@ def ranked(key: np.ndarray) -> np.ndarray:
     return steps
 
 
-def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], at: np.ndarray) -> np.ndarray:
-    """For each of the suffixes at, in order, the length of its common prefix with the one before, up to the depth."""
+def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], at: np.ndarray, least: int = 0) -> np.ndarray:
+    """For each of the suffixes at, in order, the length of its common prefix with the one before, up to the depth.
+
+    Below least the value is not exact: where neighbours differ before, nothing shorter is looked at.
+    """
     out = np.zeros(len(at), np.int64)
     todo = np.arange(1, len(at))
     depth = levels[0][0]
-    for length, ranks in [*levels, (1, data), (1, data), (1, data), (1, data), (1, data), (1, data), (1, data)]:
+    shorter = [*levels[1:], *[(1, data)] * 7] if least < depth else []
+    for length, ranks in [levels[0], *shorter]:
         a, b = at[todo - 1] + out[todo], at[todo] + out[todo]
         inside = np.maximum(a, b) < len(data)
         same = np.zeros(len(todo), bool)
@@ -149,7 +153,7 @@ def repeats(cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     levels = suffix_ranks(data, LENGTH)
     order = np.argsort(levels[0][1][whole], kind="stable")
     at = whole[order]
-    common = common_prefixes(data, levels, at)
+    common = common_prefixes(data, levels, at, LENGTH)
     earlier, later = np.zeros(len(whole), bool), np.zeros(len(whole), bool)
     earlier[order] = previous_factors(at, common, LENGTH) >= LENGTH
     later[order] = previous_factors(-at, common, LENGTH) >= LENGTH
@@ -291,8 +295,8 @@ def passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), *digests(docs, text_col))
     copies = base.groupBy("th", "tc").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
-    rows = anchor_rows(base.select("th", "tc", "_text"))
-    # Grams of several texts, or at several places of one. Anchors are found again for the join, so that they need no table.
+    rows = durable(anchor_rows(base.select("th", "tc", "_text")), "anchors")
+    # Grams of several texts, or at several places of one.
     text = F.xxhash64("th", "tc")
     grams = rows.groupBy("gram").agg(F.min(text).alias("lo"), F.max(text).alias("hi"), F.max(F.size("los")).alias("places"), F.count(F.lit(1)).alias("n"))
     grams = durable(grams.where("lo != hi or places > 1").select("gram", "n"), "grams")
