@@ -11,7 +11,8 @@ would have been made from it later. Numbered by their left ends (a token before
 these by rank), the tokens that one gadget takes from a state are the lost one and one range. So a state's row of the
 table is a list of ranges that it has no arc for, and a transition is a search in that row and a look at the targets.
 
-A word is encoded left to right: for each of its prefixes one state at most is live, since the string has one path.
+A word is encoded left to right: for each of its prefixes one state at most is live, since the string has one path. A
+keyword search over the vocabulary names the arcs whose token ends at a place, the table tells which of them is there.
 Decoding emits the labels of the arcs passed.
 """
 
@@ -23,12 +24,17 @@ from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
+import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import documents, map_texts
 from ._words import Remembered, Spec, byte_symbols
 
 
+#: Stands for the suffix in the keyword search; no stand-in symbol of a byte.
+END = "\0"
+
+
 class MergeAutomaton:
     """Deterministic automaton over tokens for a list of merges and the suffix that marks a word's last symbol.
 
@@ -40,12 +46,11 @@ class MergeAutomaton:
         self.suffix, self.vocab = suffix, vocab
         self.label = {i: t for t, i in vocab.items()}
         self.compile(merges)
-        self.trie: dict[str, list] = {}  # of each symbol: the arc of the token that ends with it, if any, and what may follow
+        self.search = ahocorasick.Automaton()  # of each token: arc, symbols, number and target
         for token, arc in vocab.items():
-            node: list = [None, self.trie]
-            for symbol in self.symbols(token):
-                node = node[1].setdefault(symbol, [None, {}])
-            node[0] = arc
+            spelled = self.spelled(token)
+            self.search.add_word(spelled, (arc, len(spelled), self.number[arc], self.target[arc]))
+        self.search.make_automaton()
 
     def compile(self, merges: list[tuple[str, str]]) -> None:
         parent, lost = [-1], [("", -1)]  # of each state: what it was split from, and the token it lost at which rank
@@ -113,12 +118,10 @@ class MergeAutomaton:
                 stack += [(c, False) for _, c in reversed(children.get(token, []))]
         return number, last
 
-    def symbols(self, token: str) -> list[str]:
+    def spelled(self, token: str) -> str:
+        """A token as the keyword search reads it: END in the place of the suffix."""
         end = self.suffix
-        if end and token.endswith(end) and len(token) > len(end):
-            body = token[: -len(end)]
-            return [*body[:-1], body[-1] + end]
-        return [*token]
+        return token[: -len(end)] + END if end and token.endswith(end) and len(token) > len(end) else token
 
     def step(self, state: int, arc: int) -> int:
         """The state that arc leads to from state, -1 where state has no such arc."""
@@ -128,26 +131,20 @@ class MergeAutomaton:
 
     def path(self, word: str) -> list[int]:
         """The arcs that a word, given in stand-in symbols, passes from the start."""
-        symbols = [*word[:-1], word[-1] + self.suffix] if self.suffix else [*word]
-        n = len(symbols)
+        if not word:
+            return []
+        read = word + END if self.suffix else word
+        n = len(read)
         state, into = [-1] * (n + 1), [(0, 0)] * (n + 1)  # the one live state after each prefix, and where from by which arc
         state[0] = self.start
-        row, low, high, numbers = self.row, self.low, self.high, self.number
-        for at in range(n):
-            here = state[at]
-            if here < 0:
+        row, low, high = self.row, self.low, self.high
+        for last, (arc, size, number, target) in self.search.iter(read):
+            if state[last + 1] >= 0 or state[last + 1 - size] < 0:
                 continue
-            following, first, end = self.trie, row[here], row[here + 1]
-            for to in range(at, n):
-                node = following.get(symbols[to])
-                if node is None:
-                    break
-                arc, following = node
-                if arc is not None and state[to + 1] < 0:
-                    number = numbers[arc]
-                    k = bisect_right(low, number, first, end) - 1
-                    if k < first or high[k] < number:
-                        state[to + 1], into[to + 1] = self.target[arc], (at, arc)
+            here = state[last + 1 - size]
+            k = bisect_right(low, number, row[here], row[here + 1]) - 1
+            if k < row[here] or high[k] < number:
+                state[last + 1], into[last + 1] = target, (last + 1 - size, arc)
         out, at = [], n
         while at:
             if state[at] < 0:
