@@ -92,7 +92,7 @@ def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
 
 
 def ranked(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     steps = np.zeros(len(key), np.uint32)
     sorted_ = key[order]
     steps[order] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]])).astype(np.uint32) if len(key) else 0
@@ -151,7 +151,8 @@ def repeats(cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = np.maximum(0, ends - starts - LENGTH + 1)
     whole = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     levels = suffix_ranks(data, LENGTH)
-    order = np.argsort(levels[0][1][whole], kind="stable")
+    # Equal strings in order of their places; one sort of rank and number together is faster than an argsort.
+    order = (np.sort(levels[0][1][whole].astype(np.uint64) << np.uint64(32) | np.arange(len(whole), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = whole[order]
     common = common_prefixes(data, levels, at, LENGTH)
     earlier, later = np.zeros(len(whole), bool), np.zeros(len(whole), bool)
