@@ -118,6 +118,19 @@ def test_search_edges(spark, awkward):
     assert len(found) == 2 * 3 and {r.doc_id for r in found} == {None, 5}
 
 
+def test_search_deals_nothing_by_copies(spark, docs, monkeypatch):
+    """Neither postings nor queries pass an exchange on their way to the search, and parts of the queries change no answer."""
+    asked = docs.select(F.col("doc_id").alias("query_id"), "text")
+    index = search.build_index(docs, shard=5)
+    whole = search.search(index, asked, 5)
+    monkeypatch.setattr(search, "QUERIES", 4)
+    monkeypatch.setattr(search, "TOGETHER", 3)
+    parts = search.search(index, asked, 5)
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "Join Cross" in plan
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+
+
 # --- sharding
 
 
