@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickforge.llm import bpe, gif, minhash, packing, pii, search, secrets, sharding, suffixes, toxicity
+from tickforge.llm._shared import durable
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZERS = pytest.importorskip("public_tokenizers")
@@ -118,6 +119,21 @@ def test_search_edges(spark, awkward):
     assert len(found) == 2 * 3 and {r.doc_id for r in found} == {None, 5}
 
 
+def test_search_memory(spark, docs):
+    """Counts take one byte where that is enough; shards reach Python one by one; the session stays as it was."""
+    index = search.build_index(docs, shard=12)
+    for r in index.collect():
+        assert len(r.docs) == 2 * sum(r.sizes) and len(r.counts) == sum(r.sizes)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    with search.one_row_a_batch(spark):
+        seen += [r[0] for r in index.select("shard").mapInArrow(lambda batches: (b.__class__.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    assert set(seen) == {1} and spark.conf.get(key) == before
+    often = spark.createDataFrame([(1, "a " * 70000 + "b"), (2, "a b " * 300), (3, "b")], "doc_id long, text string")
+    found = search.search(search.build_index(often), often.select(F.col("doc_id").alias("query_id"), "text")).collect()
+    assert {(r.query_id, r.rank, r.doc_id) for r in found if r.query_id == 3} == {(3, 1, 2), (3, 2, 3), (3, 3, 1)}
+
+
 def test_search_deals_nothing_by_copies(spark, docs, monkeypatch):
     """Neither postings nor queries pass an exchange on their way to the search, and parts of the queries change no answer."""
     asked = docs.select(F.col("doc_id").alias("query_id"), "text")
@@ -125,8 +141,10 @@ def test_search_deals_nothing_by_copies(spark, docs, monkeypatch):
     whole = search.search(index, asked, 5)
     monkeypatch.setattr(search, "QUERIES", 4)
     monkeypatch.setattr(search, "TOGETHER", 3)
+    plans = {}
+    monkeypatch.setattr(search, "durable", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or durable(df, name))
     parts = search.search(index, asked, 5)
-    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    plan = plans["found"]
     assert "RepartitionByExpression" not in plan and "Join Cross" in plan
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
