@@ -504,6 +504,18 @@ def test_gif_edges(spark, awkward):
 # --- toxicity
 
 
+def test_toxicity_training_gives_memory_back(spark, monkeypatch):
+    """The driver keeps nothing of the training but the model."""
+    rows = [(k, f"word{k % 7} " + ("idiotic fool" if k % 2 else "kind friend")) for k in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    done = []
+    monkeypatch.setattr(toxicity, "released", lambda: done.append(True), raising=False)
+    model = toxicity.fit(docs, labels)
+    assert done == [True]
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all((scores[k] >= 0.5) == (k % 2 == 1) for k, _ in rows)
+
+
 def test_kernel_is_linear():
     """The weights of triples give the sum of kernel values, and the kernel that of all pairs of triples."""
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, map_texts, small
+from ._shared import documents, map_texts, released, small
 
 #: Labelled documents of either class that train the classifier, at most; drawn by a hash of doc_id.
 TRAIN = 2000
@@ -166,7 +166,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(1 << 18, np.float32), -1.0, (*[0.0] * (WORST + 1), float(np.log((share + 0.01) / (1.01 - share)))))
-    bags = [bag(t) for t in texts]
+    # Many texts share their segments: one string of each is kept, and tuples, a tenth of the sets' size and in their order.
+    one: dict[str, str] = {}
+    bags = [tuple([one.setdefault(s, s) for s in bag(t)]) for t in texts]
     toxic = Counter(s for b, v in zip(bags, y, strict=True) if v for s in b)
     clean = Counter(s for b, v in zip(bags, y, strict=True) if not v for s in b)
     n_toxic, n_clean = int(y.sum()), int(len(y) - y.sum())
@@ -300,7 +302,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.id)
-    return train([r.text for r in rows], [r.label for r in rows])
+    texts_, marks = [r.text for r in rows], [r.label for r in rows]
+    del rows
+    model = train(texts_, marks)
+    del texts_
+    released()  # the driver lives on
+    return model
 
 
 def score(docs: DataFrame, model: Model, **columns: str) -> DataFrame:
