@@ -504,6 +504,42 @@ def test_gif_edges(spark, awkward):
 # --- toxicity
 
 
+def plain_lzw(codes):
+    """The samples of 8-bit codes, by the book."""
+    table, out, prev = {k: bytes([k]) for k in range(256)}, b"", b""
+    following = 258
+    for code in codes:
+        if code == 256:
+            table, prev, following = {k: bytes([k]) for k in range(256)}, b"", 258
+            continue
+        if code not in table and not (prev and code == following):
+            break
+        entry = table.get(code, prev + prev[:1])
+        if prev and following < 4096:
+            table[following] = prev + entry[:1]
+            following += 1
+        out += entry
+        prev = entry
+    return out
+
+
+def test_lzw_full_table_and_broken_streams():
+    """Past a full table, without a clear code, and up to a code that cannot occur."""
+    rng = random.Random(8)
+    for broken in (False, True):
+        codes, following = [256, rng.randrange(256)], 258
+        for _ in range(5000):
+            following = min(4096, following + 1)
+            codes.append(rng.choice([rng.randrange(256), rng.randrange(258, following) if following > 258 else 7]))
+        if broken:
+            codes[100] = 500  # the table has not come that far
+        bits = "".join(format(c, f"0{w}b")[::-1] for c, w in zip(codes, [9, *gif.widths(8, len(codes) - 1).tolist()], strict=True))
+        stream = bytes(int(bits[k : k + 8][::-1], 2) for k in range(0, len(bits), 8))
+        assert gif.lzw_decode(stream, 8) == plain_lzw(codes)
+    for data in (b"", b"a", b"aaaa", rng.randbytes(30000), b"ab" * 40000):
+        assert gif.lzw_decode(gif.lzw_encode(data), 8) == data
+
+
 def test_toxicity_training_gives_memory_back(spark, monkeypatch):
     """The driver keeps nothing of the training but the model."""
     rows = [(k, f"word{k % 7} " + ("idiotic fool" if k % 2 else "kind friend")) for k in range(60)]

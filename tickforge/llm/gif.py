@@ -38,11 +38,8 @@ def lzw_encode(data: bytes) -> bytes:
     codes: list[int] = []
     emit = codes.append
     find = known.get
-    last, following = -1, 258
-    for b in data:
-        if last < 0:
-            last = b
-            continue
+    last, following = data[0] if data else -1, 258
+    for b in memoryview(data)[1:]:
         key = last << 8 | b
         code = find(key)
         if code is not None:
@@ -76,7 +73,9 @@ def lzw_decode(stream: bytes, least: int) -> bytes:
     n_bits, at = 8 * len(stream), 0
     fresh = [bytes([k]) for k in range(clear)] + [b"", b""]
     out: list[bytes] = []
+    emit = out.append
     table, prev, first = list(fresh), b"", True
+    add = table.append
     size = 1 << MOST_BITS
     pattern = widths(least, size + 1)
     done = 0  # codes since the last clear
@@ -92,29 +91,34 @@ def lzw_decode(stream: bytes, least: int) -> bytes:
         codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (starts & 7) & ((1 << bits) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         n = int(stops[0]) if len(stops) else len(codes)
-        for code in codes[:n].tolist():
-            if first:
-                if code >= clear:
-                    return b"".join(out)
-                prev, first = fresh[code], False
-                out.append(prev)
-                continue
-            if code < len(table):
+        told = codes[:n].tolist()
+        if first and told:
+            if told[0] >= clear:
+                break
+            prev, first = fresh[told[0]], False
+            emit(prev)
+            del told[0]
+        room = size - len(table)
+        for code in told[:room]:
+            try:
                 entry = table[code]
-            elif code == len(table) < size:
+            except IndexError:
+                if code != len(table):
+                    return b"".join(out)
                 entry = prev + prev[:1]
-            else:
-                return b"".join(out)
-            if len(table) < size:
-                table.append(prev + entry[:1])
-            out.append(entry)
+            add(prev + entry[:1])
+            emit(entry)
             prev = entry
+        if len(told) > room:  # the table is full
+            out += [table[code] for code in told[room:]]
+            prev = out[-1]
         if n == len(codes):
             at, done = int(ends[-1]), done + n
         elif codes[n] == end:
             break
         else:
             at, done, table, first = int(ends[n]), 0, list(fresh), True
+            add = table.append
     return b"".join(out)
 
 
@@ -134,6 +138,9 @@ def rgb332() -> np.ndarray:
     return np.stack([(k >> 5) * 255 // 7, (k >> 2 & 7) * 255 // 7, (k & 3) * 85], axis=1).astype(np.uint8)
 
 
+PALETTE = rgb332()
+
+
 def blocks(data: bytes) -> bytes:
     return b"".join([bytes([len(part := data[k : k + 255])]) + part for k in range(0, len(data), 255)]) + b"\0"
 
@@ -243,8 +250,7 @@ def payload(text: str) -> bytes:
 def store(samples: bytes) -> bytes:
     """A GIF file of samples, a multiple of 64 bytes, as rows of 64 palette indices."""
     rows = np.frombuffer(samples, np.uint8).reshape(-1, WIDTH)
-    colours = rgb332()
-    return encode_gif([Frame(DELAY, 1, -1, 0, 0, rows[k : k + FRAME_ROWS], colours) for k in range(0, len(rows), FRAME_ROWS)], WIDTH, min(len(rows), FRAME_ROWS))
+    return encode_gif([Frame(DELAY, 1, -1, 0, 0, rows[k : k + FRAME_ROWS], PALETTE) for k in range(0, len(rows), FRAME_ROWS)], WIDTH, min(len(rows), FRAME_ROWS))
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
