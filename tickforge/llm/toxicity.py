@@ -166,7 +166,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(1 << 18, np.float32), -1.0, (*[0.0] * (WORST + 1), float(np.log((share + 0.01) / (1.01 - share)))))
-    # Many texts share their segments: one string of each is kept, and tuples, a tenth of the sets' size and in their order.
+    # Many texts share their segments: one string of each is kept, and tuples, which are smaller than sets and in their order.
     one: dict[str, str] = {}
     bags = [tuple([one.setdefault(s, s) for s in bag(t)]) for t in texts]
     toxic = Counter(s for b, v in zip(bags, y, strict=True) if v for s in b)
